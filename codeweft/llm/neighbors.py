@@ -114,9 +114,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, dim: int = 64, probes:
             )
 
     placed = classes.select("v", "rid").mapInArrow(assign, "bucket int, rid bigint, q binary, s float, e float")
-    placed = cut(placed)
+    # Assigned twice, once to count: cheaper than keeping every vector once per probe on disk.
     many = placed.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # at most MAX_PIVOTS rows
-    placed = placed.join(F.broadcast(many), "bucket").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    placed = placed.join(F.broadcast(many), "bucket", "left").fillna(1, ["tiles"]).withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     block = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("t", o).alias("i"), F.greatest("t", o).alias("j"))))
     tiles = placed.withColumn("x", block).select("bucket", "x.i", "x.j", F.when(F.col("t") == F.col("x.i"), 0).otherwise(1).alias("side"), "rid", "q", "s", "e")
     tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
