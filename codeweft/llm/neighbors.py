@@ -26,6 +26,9 @@ TILE = 2048
 #: Buckets are this many times the root of the number of vectors, within bounds that limit what is sent to each task (4 MB at 64 dimensions).
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 4.0, 16, 16_384
 
+#: Up to so many surviving pairs (24 bytes each, twice) are broadcast; more are joined by shuffling.
+SENT_PAIRS = 500_000
+
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """(id, v): one vector of ``dim`` finite components, not all zero, per id.
@@ -137,8 +140,10 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, dim: int = 64, probes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     met = cut(tiles.mapInArrow(multiply, "a bigint, b bigint").distinct())
-    # Float products of what is left; every vector moves once, with the pairs it is part of.
+    # Float products of what is left. Few pairs are sent to the vectors; beyond that every vector moves once, with the pairs it is part of.
     ends = met.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
+    if met.count() <= SENT_PAIRS:
+        ends = F.broadcast(ends)
     both = ends.join(classes.select("rid", "v"), "rid").groupBy("a", "b").agg(F.min_by("v", "rid").alias("va"), F.max_by("v", "rid").alias("vb"))
     close = both.select("a", "b", cosine("va", "vb").alias("cosine")).where(F.col("cosine") >= least)
 
