@@ -147,10 +147,10 @@ def pairs(files: DataFrame) -> DataFrame:
     d = declarations(files)
     found = d.where("has_body").select(F.explode("supers").alias("super"), "overload", "path", "code")
     found = found.groupBy(F.concat_ws("#", "super", "overload").alias("method_id")).agg(F.min(F.struct("path", "code")).alias("found"))
-    bare = d.where("documented and not has_body").join(found, "method_id", "left")
-    whole = d.where("documented and has_body").withColumn("found", F.lit(None).cast("struct<path string, code string>"))
-    both = whole.unionByName(bare)
-    return both.select("path", "repo_id", "method_id", "signature", "doc", F.coalesce("found.code", "code").alias("code"), F.coalesce("found.path", "path").alias("code_path")).distinct()
+    # All documented rows join, so that keys stay unique and spread; a declaration with a body keeps its own.
+    other = F.when(~F.col("has_body"), F.col("found"))
+    both = d.where("documented").join(found, "method_id", "left").withColumn("other", other)
+    return both.select("path", "repo_id", "method_id", "signature", "doc", F.coalesce("other.code", "code").alias("code"), F.coalesce("other.path", "path").alias("code_path")).distinct()
 
 
 def symbol_table(files: DataFrame) -> DataFrame:
