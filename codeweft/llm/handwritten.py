@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.session import cut
+
 #: Thresholds per language: longest and mean line (characters), least share of
 #: white space, share of numeric literals and of encoded runs, share of
 #: alphanumeric characters below which a text is no prose of code.
@@ -48,21 +50,26 @@ def _limit(lang: Column, name: str) -> Column:
 
 
 def layout(content: Column) -> dict[str, Column]:
-    """Layout statistics of a text; an empty text has none (null shares)."""
+    """Layout statistics of a text; an empty text has none (null shares).
+
+    Runs that encode something are looked for where less than a quarter of the
+    text is white space: a third of the text in such runs leaves no more.
+    """
     n = F.length(content)
     # Counted by what is left when the rest is removed: no arrays of matches, all in the JVM.
     kept = lambda pattern: F.length(F.regexp_replace(content, pattern, "")) / F.nullif(n, F.lit(0))
     lines = F.split(content, r"\r\n|\r|\n")
     # Literals of numbers with the punctuation and blanks around them, and quoted digits (hex and the like).
     literal = r"(?:(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfFdD]?|\"[0-9a-fA-F]{2,}\"|'[0-9a-fA-F]{2,}')(?![\w])[ \t]*,?[ \t]*"
+    space = 1 - kept(r"\s+")
     return {
         "n_chars": n,
         "max_line": F.array_max(F.transform(lines, F.length)),
         "mean_line": n / F.size(lines),
-        "space": 1 - kept(r"\s+"),
+        "space": space,
         "alnum": 1 - kept(r"[\p{L}\p{N}]+"),
         "numeric": 1 - kept(literal),
-        "encoded": 1 - kept(r"[A-Za-z0-9+/=_\\-]{60,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){8,}|(?:[0-9a-fA-F]{16,}[\"' +\\n]*){3,}"),
+        "encoded": F.when(space < 0.25, 1 - kept(r"(?<![A-Za-z0-9+/=_\\-])[A-Za-z0-9+/=_\\-]{60,}+|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){8,}|(?<![0-9a-fA-F])(?:[0-9a-fA-F]{16,}+[\"' +\\n]*){3,}")).otherwise(F.when(n > 0, 0.0)),
     }
 
 
@@ -89,14 +96,14 @@ def judged(files: DataFrame, library_roots: DataFrame, known_repos: DataFrame) -
     root = F.when((F.col("lang") == "java") & (package != ""), F.substring_index(package, ".", 2))
     f = f.select(
         *("path", "repo_id", "lang", "content", "n_chars", "max_line", "mean_line", "space", "alnum", "numeric", "encoded"),
-        (some & data).alias("data"), (some & mini & ~data).alias("minified"), (some & generated).alias("generated"), root.alias("root"), some.alias("some"),
+        (some & data).alias("data"), (some & mini & ~data).alias("minified"), (some & generated).alias("generated"), root.alias("root"), some.alias("some"), top.rlike(NOTICE).alias("notice"),
     )
     # The owner of a repository is the first label of its id; a root whose second label is no owner is foreign.
     owners = known_repos.select(F.substring_index("repo_id", "-", 1).alias("owner")).where("owner <> ''").distinct().withColumn("own", F.lit(True))
     libs = library_roots.select("root").distinct().withColumn("lib", F.lit(True))
     f = f.join(libs, "root", "left").join(owners, F.substring_index("root", ".", -1) == F.col("owner"), "left")
     foreign = F.col("root").contains(".") & (F.col("lib").isNotNull() | F.col("own").isNull())
-    notice = F.col("content").rlike(NOTICE)
+    notice = F.col("notice")
     folder = (F.col("lang") != "java") & F.col("path").rlike(SCRIPT_FOLDERS)
     f = f.withColumn("vendored", F.col("some") & (F.coalesce(foreign, F.lit(False)) | notice | folder))
     reason = F.when(F.col("generated"), "generated").when(F.col("vendored"), "vendored").when(F.col("data"), "data").when(F.col("minified"), "minified")
@@ -152,9 +159,10 @@ def not_handwritten(files: DataFrame, library_roots: DataFrame, known_repos: Dat
     per reason.
     """
     j = judged(files, library_roots, known_repos)
+    compared = (F.col("lang") != "java") & (F.col("reason").isNull() | F.col("vendored") & ~F.col("minified") & ~F.col("data"))
+    j = cut(j.select("path", "lang", "reason", "vendored", F.when(compared & (F.col("n_chars") > 0), F.col("content")).alias("content")))
     found = j.where("reason is not null").select("path", "reason")
-    scripts = j.where("lang <> 'java'")
-    known = scripts.where("vendored and not minified and not data").select(F.col("path").alias("key"), "content")
-    rest = scripts.where("reason is null and n_chars > 0").select(F.col("path").alias("key"), "content")
+    known = j.where("vendored and content is not null").select(F.col("path").alias("key"), "content")
+    rest = j.where("not vendored and content is not null").select(F.col("path").alias("key"), "content")
     moved = copies(known, rest).select(F.col("key").alias("path"), F.lit("vendored").alias("reason"))
     return found.unionByName(moved).distinct()
