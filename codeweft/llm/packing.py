@@ -20,6 +20,8 @@ from codeweft.session import cut
 PACKED = "limit_id int, capacity int, container string, position int, doc_id bigint, part int, source string, n_tokens bigint"
 #: Tokens that one task packs; only sizes are held, so this bounds its memory.
 TOKENS_PER_SHARD = 2_000_000
+#: Sources and limits are planned on the driver and are few; more are refused.
+MAX_SOURCES, MAX_LIMITS = 5_000, 200
 
 
 class _Queue:
@@ -99,12 +101,18 @@ def packed(sizes: DataFrame, limits: DataFrame, shares: DataFrame | None = None,
     sizes = cut(sizes.where("n_tokens is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest("n_tokens", F.lit(0)).alias("n_tokens")))
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // tokens_per_shard))
-    own = sizes.groupBy("source").agg((F.sum("n_tokens") / F.lit(float(max(total, 1)))).alias("share"))
-    aim = own if shares is None else own.select("source").join(shares.select("source", F.col("share").alias("share")), "source", "left").fillna(0.0, ["share"])
-
-    limits = limits.where("capacity_tokens > 0").select(F.col("limit_id").cast("int"), F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
+    own = {r["source"]: r["t"] / max(total, 1) for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()}
+    given = None if shares is None else {r["source"]: r["share"] or 0.0 for r in shares.select("source", "share").limit(MAX_SOURCES + 1).collect()}
+    caps = [(r["limit_id"], r["capacity_tokens"]) for r in limits.where("capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().limit(MAX_LIMITS + 1).collect()]
+    if max(len(own), len(given or ())) > MAX_SOURCES or len(caps) > MAX_LIMITS:
+        raise ValueError("too many sources or limits")
+    if not caps or not own:
+        return sizes.sparkSession.createDataFrame([], PACKED)
+    aim = own if given is None else {s: given.get(s, 0.0) for s in own}
+
+    one = lambda i, c: F.struct(F.lit(int(i)).cast("int").alias("limit_id"), F.lit(int(c)).cast("int").alias("capacity"))
     cap = F.col("capacity")
-    pieces = sizes.join(F.broadcast(limits))  # a handful of capacities
+    pieces = sizes.select("*", F.explode(F.array(*(one(i, c) for i, c in sorted(caps)))).alias("x")).select("doc_id", "source", "n_tokens", "x.limit_id", "x.capacity")
     full = F.floor(F.when(F.col("n_tokens") > cap, F.col("n_tokens") / cap).otherwise(0)).cast("int")
     pieces = pieces.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * cap).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     whole = pieces.where("full > 0").select(
@@ -114,7 +122,8 @@ def packed(sizes: DataFrame, limits: DataFrame, shares: DataFrame | None = None,
 
     # Deficits before each shard: what its predecessors should have given of each source, less what they gave.
     given = items.groupBy("limit_id", "shard", "source").agg(F.sum("n_tokens").alias("t"))
-    grid = given.select("limit_id", "shard").distinct().join(F.broadcast(aim))
+    sources = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(float(w)).alias("share")) for s, w in sorted(aim.items()))))
+    grid = given.groupBy("limit_id", "shard").agg(F.count("*")).select("limit_id", "shard", sources.alias("x")).select("limit_id", "shard", "x.source", "x.share")
     grid = grid.join(given, ["limit_id", "shard", "source"], "left").fillna(0, ["t"])
     owed = F.col("share") * F.sum("t").over(W.partitionBy("limit_id", "shard")) - F.col("t")
     grid = grid.withColumn("owed", owed)
