@@ -27,7 +27,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float
     contract: their number is checked and they go to the vectors, in blocks;
     each task keeps k rows per query before anything is shuffled. Null, empty
     or differently long vectors score nothing; blank ids are left out. Ties go
-    to the smaller id.
+    to the smaller id; scores are rounded to 9 digits first, so that equal vectors tie.
     """
     k = max(1, min(100, k))
     rows = queries.where("q is not null and size(q) > 0").select("query_id", "q").limit(1_001).collect()
@@ -49,7 +49,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float
                 some = np.nonzero(sizes == n)[0]
                 if not len(some):
                     continue
-                s = np.vstack(emb[some]).astype(np.float64) @ q.T
+                s = np.round(np.vstack(emb[some]).astype(np.float64) @ q.T, 9)
                 name = b["id"].to_numpy()[some]
                 for j, i in enumerate(at):
                     col = s[:, j]
