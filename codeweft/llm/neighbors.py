@@ -67,6 +67,12 @@ def reaching(qa, sa, ea, qb, sb, eb, least: float, step: int = 512) -> Iterator[
         yield i + at, j
 
 
+def _nearest(x: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndarray:
+    if probes >= len(pivots):
+        return np.tile(np.arange(len(pivots)), (len(x), 1))
+    return np.argpartition(x @ -pivots.T, probes - 1, axis=1)[:, :probes]
+
+
 def cosine(a: str, b: str) -> Column:
     """Cosine of two array columns in double precision."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -104,8 +110,8 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, dim: int = 64, probes:
                 continue
             x = _unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
             q, s, e = quantise(x)
-            sim = x.astype(np.float32) @ p.T
-            top = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < len(p) else np.tile(np.arange(len(p)), (len(x), 1))
+            # Few rows at a time: each is compared with all pivots.
+            top = np.concatenate([_nearest(x[at : at + 512].astype(np.float32), p, probes) for at in range(0, len(x), 512)])
             who = np.repeat(np.arange(len(x)), probes)
             rid = b.column("rid").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
@@ -204,8 +210,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, qu
             qa, sa, ea = quantise(x[a])
             qb, sb, eb = quantise(x[b])
             out_q, out_i, out_c = [], [], []
-            for at in range(0, len(a), 256):
-                sl = slice(at, at + 256)
+            for at in range(0, len(a), 128):
+                sl = slice(at, at + 128)
                 approx = (qa[sl].astype(np.float32) @ qb.astype(np.float32).T) * (sa[sl, None] * sb[None, :])
                 err = ea[sl, None] + eb[None, :] * (1 + ea[sl, None])
                 m = min(k + 1, len(b))  # the query itself may be among them
