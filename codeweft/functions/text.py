@@ -87,7 +87,7 @@ def from_epoch_ms(ms: Column | str) -> Column:
 
 
 def depth_from_count(n: Column | str) -> Column:
-    """Propagation depth for n nodes: 30 below 20, falling to 10 at 50, half to even."""
+    """Propagation depth for n nodes: 30 below 20, falling to 20 at 50, 10 beyond; half to even."""
     n = _c(n)
     return F.when(n < 20, 30).when(n > 50, 10).otherwise(F.bround(30 - 10 * (n - 20) / 30.0, 0)).cast("int")
 

@@ -46,7 +46,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State],
         raise ValueError("fan_in must be at least 2")
     names = [f"k{i}" for i in range(len(keys))]
     inputs = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
-    raw = [State(s.name, s.merge, F.col(f"v{i}")) for i, s in enumerate(states)]
+    raw = [State(f"v{i}", s.merge, F.col(f"v{i}")) for i, s in enumerate(states)]
     level = df.select(*inputs, *(s.of.alias(f"v{i}") for i, s in enumerate(states)), F.spark_partition_id().alias("chunk"))
     groups = df.rdd.getNumPartitions()
     merge = [s.first() for s in raw]
@@ -55,7 +55,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Sequence[State],
         merge = [s.again() for s in raw]
         groups = -(-groups // fan_in)
     out = level.groupBy(*names).agg(*merge)
-    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *(s.name for s in states))
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *(F.col(r.name).alias(s.name) for r, s in zip(raw, states)))
 
 
 def heavy_keys(df: DataFrame, key: str, share: float, fan_in: int = 8) -> DataFrame:

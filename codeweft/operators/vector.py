@@ -54,8 +54,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float
                 for j, i in enumerate(at):
                     col = s[:, j]
                     fine = np.nonzero(np.isfinite(col) & (col >= (-np.inf if min_score is None else min_score)))[0]
-                    best = sorted(fine, key=lambda x: (-col[x], name[x]))[:k]
-                    yield pd.DataFrame({"qi": i, "id": name[best], "score": col[best]})
+                    best = _best(fine, col, name, k)
+                    if not best:
+                        continue
+                    yield pd.DataFrame({"qi": i, "id": list(best), "score": list(best.values())})
 
     kept = vectors.where(F.trim("id") != "").select("id", "embedding").mapInPandas(run, "qi int, id string, score double")
     names = vectors.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"qi int, query_id {dict(queries.dtypes)['query_id']}")
@@ -64,6 +66,28 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float
     return ranked.select("qi", F.posexplode("x").alias("p", "x")).join(F.broadcast(names), "qi").select("query_id", F.col("x.id").alias("id"), (-F.col("x.d")).alias("score"), (F.col("p") + 1).alias("place"))
 
 
+def _best(rows: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> dict[str, float]:
+    """The ``k`` best distinct names among ``rows``; tries the best few rows before it sorts all."""
+    few = rows
+    if len(rows) > 50 * k:
+        few = rows[score[rows] >= np.partition(score[rows], len(rows) - 25 * k)[len(rows) - 25 * k]]
+    best: dict[str, float] = {}
+    for x in sorted(few, key=lambda x: (-score[x], name[x])):
+        best.setdefault(name[x], score[x])
+        if len(best) == k:
+            return best
+    return best if few is rows else _best_all(rows, score, name, k)
+
+
+def _best_all(rows: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> dict[str, float]:
+    best: dict[str, float] = {}
+    for x in sorted(rows, key=lambda x: (-score[x], name[x])):
+        best.setdefault(name[x], score[x])
+        if len(best) == k:
+            break
+    return best
+
+
 def hits_to_seeds(hits: DataFrame, nodes: DataFrame, has_method: DataFrame) -> DataFrame:
     """(seed): METHOD hits themselves, TYPE hits by their methods, other kinds not at all."""
     h = hits.select("id").distinct().join(nodes.select("id", F.upper("node_type").alias("t")).distinct(), "id")

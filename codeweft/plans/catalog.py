@@ -596,13 +596,13 @@ def hunk_overlap(spark, d):
 
 
 @query("""SELECT path, old, new FROM (SELECT path, lag(checksum) OVER w AS old, checksum AS new FROM (SELECT DISTINCT path, indexed_at, checksum FROM n_java_file) WINDOW w AS (PARTITION BY path ORDER BY indexed_at, checksum))
-    WHERE old IS NOT NULL AND old <> new""")
+    WHERE old IS NOT NULL""")
 def file_versions(spark, d):
-    """Consecutive lifetimes of a file whose checksums differ."""
+    """Consecutive lifetimes of a file with their checksums."""
     from pyspark.sql import Window
 
     s = table(spark, d, "n_java_file").select("path", "indexed_at", "checksum").distinct()
-    return s.select("path", F.lag("checksum").over(Window.partitionBy("path").orderBy("indexed_at", "checksum")).alias("old"), F.col("checksum").alias("new")).where("old is not null and old <> new")
+    return s.select("path", F.lag("checksum").over(Window.partitionBy("path").orderBy("indexed_at", "checksum")).alias("old"), F.col("checksum").alias("new")).where("old is not null")
 
 
 @query()
