@@ -17,11 +17,11 @@ from codeweft.session import cut
 #: white space, share of numeric literals and of encoded runs, share of
 #: alphanumeric characters below which a text is no prose of code.
 LIMITS = {
-    "java": {"max_line": 1500, "mean_line": 200, "space": 0.06, "numeric": 0.35, "encoded": 0.30, "alnum": 0.25},
-    "js": {"max_line": 500, "mean_line": 110, "space": 0.08, "numeric": 0.35, "encoded": 0.30, "alnum": 0.25},
-    "py": {"max_line": 1000, "mean_line": 160, "space": 0.06, "numeric": 0.35, "encoded": 0.30, "alnum": 0.25},
+    "java": {"max_line": 1500, "mean_line": 200, "space": 0.06, "numeric": 0.45, "encoded": 0.30, "alnum": 0.25},
+    "js": {"max_line": 500, "mean_line": 110, "space": 0.08, "numeric": 0.45, "encoded": 0.30, "alnum": 0.25},
+    "py": {"max_line": 1000, "mean_line": 160, "space": 0.06, "numeric": 0.45, "encoded": 0.30, "alnum": 0.25},
 }
-OTHER = {"max_line": 1500, "mean_line": 200, "space": 0.06, "numeric": 0.40, "encoded": 0.35, "alnum": 0.20}
+OTHER = {"max_line": 1500, "mean_line": 200, "space": 0.06, "numeric": 0.45, "encoded": 0.35, "alnum": 0.20}
 
 # How tools mark their output. Each pattern must begin its comment, so that prose about generated files is no mark.
 _OPEN = r"(?im)^[ \t]*(?:(?://+|/\*+|\*|#+|<!--|--)[ \t!]*)(?:/\*[^*\n]*\*/[ \t]*/\*[ \t]*)?(?:eslint-disable[ \t]*(?:\*/[ \t]*/\*[ \t]*|\n[^\w\n]*))?"

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeweft.session import cut
+
 SPANS = "doc_id bigint, kind string, start_pos int, end_pos int, surface string, entity string"
 #: More name parts than this are not sent to the executors in one piece.
 MAX_NAME_PARTS = 500_000
@@ -287,6 +289,8 @@ def surrogate(key: bytes, kind: str, entity: str, surface: str, attempt: int = 0
     stays); names keep script, case, order, initials and the usual ending of
     their gender; mailboxes end in the reserved ``example``.
     """
+    if attempt < 0:  # nothing free was found: made distinct by force
+        return f"{surrogate(key, kind, entity, surface)}-{_bits(key, kind, entity, -1) & (2**64 - 1):016x}"
     n = _bits(key, kind, entity, attempt)
     if kind in ("phone", "id_number"):
         keep = len(re.match(r"\+?\d{1,2}(?=[ (])|\+1|\+|", surface)[0]) if kind == "phone" and surface.startswith("+") else 0
@@ -337,17 +341,23 @@ def surrogates(spans: DataFrame, key: str, rounds: int = 6) -> DataFrame:
 
     Two different entities of a kind must not get one surrogate. Entities are
     reduced to one row each before anything else; those whose normal surrogate
-    collides draw again, all but the smallest of each group, until none is
-    left (or, after ``rounds``, get their rank attached). The result is empty
-    unless there were collisions.
+    collides draw again, all but the first of each group, ``rounds`` times at
+    most; those that still collide (a layout with too few values) get attempt
+    -1, which appends a keyed mark. The result is empty unless there were
+    collisions.
     """
     ent = spans.groupBy("kind", "entity").agg(F.min("surface").alias("surface")).withColumn("attempt", F.lit(0))
     ent = ent.withColumn("s", _udf(key)("kind", "entity", "surface", "attempt"))
-    for _ in range(rounds):
-        rank = F.row_number().over(W.partitionBy("kind", F.lower("s")).orderBy("attempt", "entity")) - 1
-        ent = ent.withColumn("attempt", F.col("attempt") + F.least(rank, F.lit(1)) * (1 + F.pmod(F.xxhash64("entity"), F.lit(1_000_000)).cast("int")))
-        ent = ent.withColumn("s", _udf(key)("kind", "entity", "surface", "attempt"))
-    return ent.where("attempt > 0").select("kind", "entity", "attempt")
+    ent = cut(ent)
+    clash = F.row_number().over(W.partitionBy("kind", F.lower("s")).orderBy("attempt", "entity")) > 1
+    for last in [False] * rounds + [True]:
+        ranked = ent.withColumn("again", clash)
+        if ranked.where("again").isEmpty():
+            break
+        step = F.lit(-1) if last else F.col("attempt") + 1 + F.pmod(F.xxhash64("entity"), F.lit(1_000_000)).cast("int")
+        ranked = ranked.withColumn("attempt", F.when(F.col("again"), step).otherwise(F.col("attempt"))).drop("again")
+        ent = cut(ranked.withColumn("s", _udf(key)("kind", "entity", "surface", "attempt")))
+    return ent.where("attempt <> 0").select("kind", "entity", "attempt")
 
 
 def _udf(key: str):

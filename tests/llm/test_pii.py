@@ -79,11 +79,18 @@ def test_redact(spark):
 def test_collisions_draw_again(spark):
     rows = [("person_name", f"a{i} b", f"Aa{i} Bb") for i in range(60)]
     spans = spark.createDataFrame([(k, e, s) for k, e, s in rows] + [("phone", f"{i}", f"{i % 10}") for i in range(9)], "kind string, entity string, surface string")
-    again = {(r["kind"], r["entity"]): r["attempt"] for r in pii.surrogates(spans, "key", rounds=30).collect()}
+    again = {(r["kind"], r["entity"]): r["attempt"] for r in pii.surrogates(spans, "key", rounds=6).collect()}
     put = [pii.surrogate(b"key", k, e, s, again.get((k, e), 0)) for k, e, s in [tuple(r) for r in spans.where("kind = 'person_name'").collect()]]
     assert len({p.lower() for p in put}) == 60
 
 
+def test_a_layout_with_too_few_values(spark):
+    spans = spark.createDataFrame([("phone", f"{i}", "7") for i in range(25)], "kind string, entity string, surface string")
+    again = {r["entity"]: r["attempt"] for r in pii.surrogates(spans, "key", rounds=2).collect()}
+    assert len({pii.surrogate(b"key", "phone", str(i), "7", again.get(str(i), 0)) for i in range(25)}) == 25
+    assert pii.surrogates(spans.limit(0), "key").count() == 0
+
+
 def test_surrogate_formats():
     s = lambda kind, e, x: pii.surrogate(b"k", kind, e, x)
     assert len(s("phone", "1", "+44 (0)7700 900162")) == len("+44 (0)7700 900162") and s("phone", "1", "+44 (0)7700 900162").startswith("+44 (")
