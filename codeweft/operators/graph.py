@@ -79,6 +79,26 @@ def attribution(up: DataFrame, down: DataFrame, seeds: DataFrame) -> DataFrame:
     return best.select("node", F.col("b.seed").alias("primary_seed"), F.col("b.hop").alias("hop"), tie.alias("tie"), way.alias("direction"), "min_hops")
 
 
+def edge_attribution(calls: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
+    """Per call edge the seed it is closest to: (src, dst, reference_seed, hop_from_seed, direction).
+
+    Closest is the smallest of the four distances of its ends, then the seed's
+    name. Downstream edges are those whose ends are reached downstream, their
+    hop is that of dst; upstream ones take the hop of src. Edges that no seed
+    reaches have no row.
+    """
+    # The closest seed of an edge is the closest of one of its ends, so ends are reduced to one candidate before edges meet them.
+    near = up.unionByName(down).groupBy("node").agg(F.min(F.struct("hop", "seed")).alias("b"))
+    e = calls.select("src", "dst").distinct()
+    for side in ("src", "dst"):
+        e = e.join(near.select(F.col("node").alias(side), F.col("b").alias(f"b_{side}")), side, "left")
+    e = e.withColumn("b", F.least("b_src", "b_dst")).where("b is not null").select("src", "dst", F.col("b.seed").alias("seed"))
+    for name, df, side in (("u_src", up, "src"), ("d_src", down, "src"), ("d_dst", down, "dst")):
+        e = e.join(df.select("seed", F.col("node").alias(side), F.col("hop").alias(name)), ["seed", side], "left")
+    below = F.col("d_dst").isNotNull() & (F.col("d_src").isNotNull() | (F.col("src") == F.col("seed")))
+    return e.select("src", "dst", F.col("seed").alias("reference_seed"), F.when(below, F.col("d_dst")).otherwise(F.col("u_src")).alias("hop_from_seed"), F.when(below, "downstream").otherwise("upstream").alias("direction"))
+
+
 def truncate(nodes: DataFrame, most: int) -> DataFrame:
     """All seeds, then the nearest nodes up to ``most`` in all; needs (node, hop), seeds have hop 0."""
     ranked = nodes.select("node", "hop").orderBy("hop", "node").limit(most)

@@ -624,6 +624,89 @@ def event_dedupe_batch(spark, d):
     return e.where("event_type <> 'error'").join(done, ["user_id", "props"], "left_anti").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
+# Payloads, details and statistics
+
+
+@query("""SELECT DISTINCT d.doc_id, r.branch, r.id AS pusher, d.commit_hash AS tip, 'author of ' || d.commit_hash AS author FROM documents d JOIN repositories r ON r.id = d.repo_id WHERE d.commit_hash IS NOT NULL""")
+def push_payload_fields(spark, d):
+    """Push payloads written as JSON and read back: branch, pusher, tip and its author."""
+    j = table(spark, d, "documents").where("commit_hash is not null").join(table(spark, d, "repositories").select(F.col("id").alias("repo_id"), "branch"), "repo_id")
+    commit = lambda c: F.struct(c.alias("id"), F.lit("m").alias("message"), F.struct(F.concat(F.lit("author of "), c).alias("name")).alias("author"))
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("refs/heads/"), "branch").alias("ref"), F.struct(F.col("repo_id").alias("name")).alias("pusher"), F.upper("commit_hash").alias("after"),
+        commit(F.lit("0")).alias("head_commit"), F.array(commit(F.lit("1")), commit(F.col("commit_hash"))).alias("commits"),
+    ))
+    p = j.select("doc_id", payload.alias("p"))
+    return p.select("doc_id", text.branch_of(F.get_json_object("p", "$.ref")).alias("branch"), jsonio.pusher(F.col("p")).alias("pusher"), F.lower(F.get_json_object("p", "$.after")).alias("tip"), jsonio.tip_author(F.col("p")).alias("author")).distinct()
+
+
+@query(f"""WITH {_JSON} SELECT doc_id, count(*)::BIGINT AS raw, sum(CASE WHEN c >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS confident,
+    count(DISTINCT CASE WHEN c >= 0.5 THEN (upper(kind), qualified_name) END)::BIGINT AS distinct_nodes FROM j GROUP BY doc_id""")
+def risk_list_stats(spark, d):
+    rows = _json_lines(spark, d).withColumn("ok", jsonio.confident(F.col("confidence")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("raw"), F.count_if("ok").alias("confident"), F.countDistinct(F.when(F.col("ok"), F.struct(F.upper("kind").alias("k"), "qualified_name"))).alias("distinct_nodes"))
+
+
+@query(f"""WITH {_JSON} SELECT doc_id, to_json(list({{'kind': kind, 'qualifiedName': qualified_name, 'filePath': ''}} ORDER BY pos)) AS nodes FROM j WHERE c >= 0.5 GROUP BY doc_id""".replace("to_json(list(", "CAST(to_json(list(").replace("ORDER BY pos)) AS nodes", "ORDER BY pos)) AS VARCHAR) AS nodes"))
+def propagation_request_body(spark, d):
+    """The node list of a propagation request as a JSON text, per document."""
+    rows = _json_lines(spark, d).where(jsonio.confident(F.col("confidence")))
+    node = F.struct("pos", F.struct("kind", F.col("qualified_name").alias("qualifiedName"), F.col("file_path").alias("filePath")).alias("n"))
+    return rows.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["n"])).alias("nodes"))
+
+
+@query("SELECT id, arg_min(signature, (indexed_at, signature)) AS signature FROM n_method WHERE id IS NOT NULL AND signature IS NOT NULL AND indexed_at IS NOT NULL GROUP BY id")
+def first_wins_details(spark, d):
+    m = table(spark, d, "n_method").where("id is not null and signature is not null and indexed_at is not null")
+    return m.groupBy("id").agg(F.min_by("signature", F.struct("indexed_at", "signature")).alias("signature"))
+
+
+@query(f"""{_vec_sql("", 0.2)}, n AS (SELECT DISTINCT src AS id FROM edges WHERE rel_type = 'CALLS' AND trim(src) <> '')
+    SELECT query_id, id, place::INTEGER AS place, id IN (SELECT id FROM n) AS in_graph FROM h""")
+def semantic_hits_in_graph(spark, d):
+    callers = _edges(spark, d, "CALLS").select(F.col("src").alias("id"), F.lit(True).alias("in_graph")).distinct()
+    hits = _search(spark, d, "true", 0.2).join(callers, "id", "left")
+    return hits.select("query_id", "id", F.col("place").cast("int").alias("place"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
+
+
+@query("""WITH x AS (SELECT DISTINCT file_path, 0 AS k, line_start AS pos, qualified_name AS node FROM n_type WHERE file_path IS NOT NULL UNION SELECT DISTINCT file_path, 1, line_start, id FROM n_method WHERE file_path IS NOT NULL AND id IS NOT NULL)
+    SELECT node, file_path, CASE k WHEN 0 THEN 'TYPE' ELSE 'METHOD' END AS kind FROM x WHERE pos IS NOT NULL ORDER BY file_path, k, pos, node LIMIT 120""")
+def diff_node_budget(spark, d):
+    """The nodes that get a diff snippet: the first 120 by file, kind and position."""
+    t = table(spark, d, "n_type").select("file_path", F.lit("TYPE").alias("kind"), F.col("line_start"), F.col("qualified_name").alias("node"))
+    m = table(spark, d, "n_method").where("id is not null").select("file_path", F.lit("METHOD").alias("kind"), "line_start", F.col("id").alias("node"))
+    rows = t.unionByName(m).where("file_path is not null and line_start is not null").distinct()
+    return diff.diff_budget(rows.withColumn("file_pos", F.col("file_path")).withColumn("pos", F.struct("line_start", "node"))).select("node", "file_path", "kind")
+
+
+@query(f"""WITH RECURSIVE {_e('c', 'CALLS')}, {_s('CALLS')}, {_hops(2, True, 'c', 'u0')}, {_hops(2, False, 'c', 'w0')},
+    u AS (SELECT seed, node, min(hop) AS hop FROM u0 GROUP BY seed, node), w AS (SELECT seed, node, min(hop) AS hop FROM w0 GROUP BY seed, node),
+    x AS (SELECT c.src, c.dst, u.seed, u.hop AS us, NULL::BIGINT AS ud, NULL::BIGINT AS ds, NULL::BIGINT AS dd FROM c JOIN u ON u.node = c.src UNION ALL SELECT c.src, c.dst, u.seed, NULL, u.hop, NULL, NULL FROM c JOIN u ON u.node = c.dst
+      UNION ALL SELECT c.src, c.dst, w.seed, NULL, NULL, w.hop, NULL FROM c JOIN w ON w.node = c.src UNION ALL SELECT c.src, c.dst, w.seed, NULL, NULL, NULL, w.hop FROM c JOIN w ON w.node = c.dst),
+    p AS (SELECT src, dst, seed, min(us) AS us, min(ud) AS ud, min(ds) AS ds, min(dd) AS dd, least(min(us), min(ud), min(ds), min(dd)) AS score FROM x GROUP BY src, dst, seed)
+    SELECT src, dst, seed AS reference_seed, (CASE WHEN dd IS NOT NULL AND (ds IS NOT NULL OR src = seed) THEN dd ELSE us END)::INTEGER AS hop_from_seed,
+      CASE WHEN dd IS NOT NULL AND (ds IS NOT NULL OR src = seed) THEN 'downstream' ELSE 'upstream' END AS direction FROM p QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY score, seed) = 1""")
+def edge_reference_seed(spark, d):
+    s, c = _seeds(spark, d, "CALLS"), _edges(spark, d, "CALLS")
+    return graph.edge_attribution(c, graph.hops(s, c, 2, up=True), graph.hops(s, c, 2))
+
+
+@query()
+def unified_diffs(spark, d):
+    """Sizes of the unified diffs between a file and itself without line comments."""
+    f = _newest(spark, d).where(F.col("path").endswith(".java"))
+    pairs = f.select("path", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^\s*//.*$\n?", "").alias("new"))
+    return diff.unified(pairs).select("path", F.length("diff").alias("n_chars"))
+
+
+@query()
+def evidence_documents(spark, d):
+    """One evidence document per repository: changed files between two days and the methods in them."""
+    changes = snapshot_diff(spark, d).withColumn("repo", F.regexp_extract("path", "^/data/checkouts/([^/]+)/", 1)).withColumn("insertions", F.lit(1)).withColumn("deletions", F.lit(0))
+    m = table(spark, d, "n_method").where("id is not null").select(F.col("file_path").alias("path"), F.lit("METHOD").alias("kind"), F.col("id").alias("qualified_name"), F.col("signature").alias("snippet")).distinct()
+    return diff.evidence(F.struct(F.col("repo")), changes, changes.select("repo", "path").join(m, "path"), "repo").select("repo", F.length("document").alias("n_chars"))
+
+
 # Composites and operators that SQL cannot express
 
 

@@ -63,6 +63,14 @@ def test_attribution(spark):
     assert a == {"s": "seed", "p": "lateral", "q": "lateral"}
 
 
+def test_edge_attribution(spark):
+    s, e = seeds(spark, "s", "t"), edges(spark, [("s", "x"), ("x", "y"), ("p", "s"), ("t", "x"), ("far", "away")])
+    got = graph.edge_attribution(e, graph.hops(s, e, 2, up=True), graph.hops(s, e, 2))
+    assert as_set(got, "src", "dst", "reference_seed", "hop_from_seed", "direction") == {
+        ("s", "x", "s", 1, "downstream"), ("x", "y", "s", 2, "downstream"), ("p", "s", "s", 1, "upstream"), ("t", "x", "s", None, "upstream"),
+    }
+
+
 def test_truncate_keeps_seeds(spark):
     n = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 2)], "node string, hop int")
     assert as_set(graph.truncate(n, 1), "node") == {("a",), ("b",)}
