@@ -78,7 +78,7 @@ _DE = re.compile(
     rf"|(?<![\w\-])(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der|Beim) [A-ZÄÖÜ][\wäöüß\-]+ {_NUMBER},? ?\d{{4,5}} {_UP}"
 )
 #: What every German address has; found fast, where the whole pattern would be tried at each word.
-_DE_HINT = re.compile(r"(?:tr\.|ra(?:ß|ss)e|eg|atz|asse|llee|ing|amm|fer) \d|\b(?:A[mn]|I[mn]|Auf|Zu[mr]|Unter|Hinter|Beim) [A-ZÄÖÜd]")
+_DE_HINT = re.compile(r"(?:tr\.|ra(?:ß|ss)e|eg|atz|asse|llee|ing|amm|fer) \d|[AIZUHB](?:[mn]|uf|u[mr]|nter|inter|eim) [A-ZÄÖÜd]")
 _ES = re.compile(rf"(?<![\w/])(?:Calle|C/|C\.|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carretera|Ctra\.|Ronda|Rue|Via) ?(?:de la |de los |de las |del |de )?{_UP}(?: (?:de |del |la )*{_UP}){{0,2}},? {_NUMBER}{_TAIL}")
 _ZH = re.compile(r"([一-鿿]{1,12}?)(大街|大道|路|街|巷|胡同|弄)(\d{1,5})号(?:[一-鿿]?\d{1,4}(?:号楼|单元|栋|幢|楼|层|室|座|号))*")
 _ZH_CUT = re.compile("[在于到址是住为至往给向]")
@@ -98,6 +98,7 @@ _TRIGGER = (
 )
 _CUE = re.compile(rf"{_TRIGGER}(?:(?:Dr|Mr|Mrs|Ms|Prof)\. )?\Z")
 _OWNED = re.compile(rf"(?<![\w'\-.@])(?P<n>(?P<fam1>{_FAMILY}), (?P<giv1>{_GIVEN}{_MIDDLE})|(?P<giv2>{_GIVEN}{_MIDDLE}) (?P<fam2>{_FAMILY}))(?='s [a-z])")
+_TURNED_HINT = re.compile(r"[A-Za-zÀ-ÿ], [A-ZÀ-ÖØ-Þ]")
 _HAN = re.compile(r"([一-鿿]{1,8})[·・•]([一-鿿]{1,8})")
 
 
@@ -176,7 +177,7 @@ class Detector:
         return bool(re.match(r":[\w~/.]", after)) and bool(re.match(r":(?:\d+/)?[\w~.\-]*[/.][\w.\-]", t[m.end() : m.end() + 120]))
 
     def names(self, t: str) -> Iterator[tuple[str, int, int, str]]:
-        near, turned = list(self.near.finditer(t)), list(self.turned.finditer(t))
+        near, turned = list(self.near.finditer(t)), list(self.turned.finditer(t)) if _TURNED_HINT.search(t) else []
         known: list[tuple[str, int, int, str]] = []
         if near or turned:
             for m in turned:
