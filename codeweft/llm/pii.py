@@ -67,7 +67,7 @@ _EN_STREET = "Street|St|Road|Rd|Lane|Ln|Court|Ct|Avenue|Ave|Boulevard|Blvd|Drive
 _UNIT = r"(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|Fl|Room|Rm|#)\.? ?\d+[A-Za-z]?"
 _CODE = r"(?:[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}|\d{5}(?:-\d{4})?|[A-Z]{2} \d{5})"
 _EN = re.compile(
-    rf"(?<![\w.\-/])(?:{_UNIT}, )?\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})? (?:[NSEW]\.? |North |South |East |West )?{_UP}(?: {_UP}){{0,2}}? (?:{_EN_STREET})\b"
+    rf"(?=[\dAUSFR#])(?<![\w.\-/])(?:{_UNIT}, )?\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})? (?:[NSEW]\.? |North |South |East |West )?{_UP}(?: {_UP}){{0,2}}? (?:{_EN_STREET})\b"
     rf"(?:,? {_UNIT})?(?:, (?!{_UNIT}){_UP}(?: {_CODE}\b)?|,? {_CODE}\b)?",
 )
 _TAIL = rf"(?:, ?(?:\d{{4,5}} {_UP}|{_UP}(?: \d{{4,5}}\b)?))?"
@@ -79,7 +79,7 @@ _DE = re.compile(
 )
 #: What every German address has; found fast, where the whole pattern would be tried at each word.
 _DE_HINT = re.compile(r"(?:tr\.|ra(?:ß|ss)e|eg|atz|asse|llee|ing|amm|fer) \d|[AIZUHB](?:[mn]|uf|u[mr]|nter|inter|eim) [A-ZÄÖÜd]")
-_ES = re.compile(rf"(?<![\w/])(?:Calle|C/|C\.|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carretera|Ctra\.|Ronda|Rue|Via) ?(?:de la |de los |de las |del |de )?{_UP}(?: (?:de |del |la )*{_UP}){{0,2}},? {_NUMBER}{_TAIL}")
+_ES = re.compile(rf"(?=[CAPRV])(?<![\w/])(?:Calle|C/|C\.|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carretera|Ctra\.|Ronda|Rue|Via) ?(?:de la |de los |de las |del |de )?{_UP}(?: (?:de |del |la )*{_UP}){{0,2}},? {_NUMBER}{_TAIL}")
 _ZH = re.compile(r"([一-鿿]{1,12}?)(大街|大道|路|街|巷|胡同|弄)(\d{1,5})号(?:[一-鿿]?\d{1,4}(?:号楼|单元|栋|幢|楼|层|室|座|号))*")
 _ZH_CUT = re.compile("[在于到址是住为至往给向]")
 
