@@ -111,8 +111,9 @@ def judged(files: DataFrame, library_roots: DataFrame, known_repos: DataFrame) -
 
 
 def _code_only(content: Column) -> Column:
-    """Words of the code: no comments, no layout."""
-    return F.regexp_replace(F.regexp_replace(content, r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " "), r"(?m)(?:^|[ \t])//[^\n]*|^[ \t]*#[^\n]*", " ")
+    """Words of the code: no comments, no layout, and no package and import lines of Java, which change when a file moves."""
+    bare = F.regexp_replace(F.regexp_replace(content, r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " "), r"(?m)(?:^|[ \t])//[^\n]*|^[ \t]*#[^\n]*", " ")
+    return F.regexp_replace(bare, r"(?m)^[ \t]*(?:package|import(?:[ \t]+static)?)[ \t]+[\w.]+(?:\.\*)?[ \t]*;", " ")
 
 
 def copies(known: DataFrame, others: DataFrame, share: float = 0.8, k: int = 5) -> DataFrame:
@@ -154,12 +155,12 @@ def not_handwritten(files: DataFrame, library_roots: DataFrame, known_repos: Dat
     """(path, reason) of every file that is no hand-written source.
 
     What ``judged`` finds, plus copies (changed, moved or stripped of their
-    notice) of script files that it found to be vendored; Java copies keep
-    their package and need no comparison. Repeated rows of a path give one row
-    per reason.
+    notice) of files that it found to be vendored, Java files among them: they
+    are also moved into a package of the host project. Repeated rows of a path
+    give one row per reason.
     """
     j = judged(files, library_roots, known_repos)
-    compared = (F.col("lang") != "java") & (F.col("reason").isNull() | F.col("vendored") & ~F.col("minified") & ~F.col("data"))
+    compared = F.col("reason").isNull() | F.col("vendored") & ~F.col("minified") & ~F.col("data")
     j = cut(j.select("path", "lang", "reason", "vendored", F.when(compared & (F.col("n_chars") > 0), F.col("content")).alias("content")))
     found = j.where("reason is not null").select("path", "reason")
     known = j.where("vendored and content is not null").select(F.col("path").alias("key"), "content")

@@ -45,6 +45,19 @@ def test_vendored(spark):
     assert judge(spark, rows) == {k: "vendored" for k in ("x/A.java", "y/B.java", "z/C.java", "web/lib.js", "web/moved.js", "web/changed.js", "web/node_modules/q/i.js")}
 
 
+def test_java_copies_in_a_package_of_the_host(spark):
+    body = "/** Keeps steps. */\npublic class Steps {\n" + "".join(f"    int step{i}(int a, int b) {{\n        return a * {i + 3} + b - limit{i};\n    }}\n\n" for i in range(12)) + "}\n"
+    imports = lambda root: "".join(f"import {root}.part{i}.Name{i};\n" for i in range(30)) + f"import static {root}.part.Name.*;\n\n"
+    notice = "/* Copyright (c) the lib contributors. Licensed under the lib public terms. */\n"
+    other = "public class Other {\n" + "".join(f"    void other{i}(long x) {{\n        run{i}(x, {i});\n    }}\n" for i in range(12)) + "}\n"
+    rows = [
+        ("lib/Steps.java", notice + "package org.lib.a;\n\n" + imports("org.lib") + body),
+        ("own/support/Steps.java", "package com.own.support;\n\n" + imports("com.own") + body.replace("/** Keeps steps. */\n", "")),
+        ("own/compat/Steps.java", "package com.own.compat;\n\n" + body.replace("a * 5 + b", "b * 5 + a")), ("own/Other.java", "package com.own.a;\n\n" + imports("com.own") + other),
+    ]
+    assert judge(spark, rows) == {k: "vendored" for k in ("lib/Steps.java", "own/support/Steps.java", "own/compat/Steps.java")}
+
+
 def test_layout(spark):
     r = random.Random(1)
     table = "package com.own.a;\nfinal class T {\n    static final byte[] TABLE = {\n" + "".join("            " + ", ".join(str(r.randrange(-128, 127)) for _ in range(24)) + ",\n" for _ in range(60)) + "    };\n}\n"
