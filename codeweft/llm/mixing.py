@@ -67,13 +67,14 @@ def schedule(n: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], total_tokens: int | None = None) -> list[tuple]:
+def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], total_tokens: int | None = None, whole: bool = False) -> list[tuple]:
     """(mix_id, source, target_share, max_repeats, supply, goal, status) for every target.
 
     Without ``total_tokens`` a mix is as large as it can be with every share
     exact: the smallest of supply * max_repeats / share over its sources that
-    have documents. With it, sources that cannot give so much give all they
-    may. status: zero_target, no_documents, capped or met.
+    have documents. With it, or with ``whole``, which makes a mix as large as
+    the supply of these sources together, sources that cannot give so much
+    give all they may. status: zero_target, no_documents, capped or met.
     """
     out = []
     mixes: dict[int, list] = {}
@@ -81,7 +82,12 @@ def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], tot
         mixes.setdefault(t[0], []).append(t)
     for mix, ts in sorted(mixes.items()):
         live = [(s, w, r) for _, s, w, r in ts if w > 0 and r > 0 and supply.get(s, 0) > 0]
-        size = total_tokens if total_tokens is not None else min((supply[s] * r / w for s, w, r in live), default=0)
+        if total_tokens is not None:
+            size = total_tokens
+        elif whole:
+            size = sum(supply[s] for s, _, _ in live)
+        else:
+            size = min((supply[s] * r / w for s, w, r in live), default=0)
         for _, s, w, r in ts:
             have = supply.get(s, 0)
             if not w or w <= 0:
@@ -95,7 +101,7 @@ def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], tot
     return out
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK_TOKENS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The drawn documents in order, and the shares reached.
 
     ``sizes``: (doc_id, source, n_tokens); ``targets``: (mix_id, source,
@@ -119,7 +125,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         raise ValueError("too many targets")
     named = t.select("source").distinct()
     total = {r["source"]: (r["t"], r["n"]) for r in sizes.join(F.broadcast(named), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
-    planned = plan({s: x[0] for s, x in total.items()}, [(r["mix_id"], r["source"], r["w"], r["r"]) for r in rows], total_tokens)
+    planned = plan({s: x[0] for s, x in total.items()}, [(r["mix_id"], r["source"], r["w"], r["r"]) for r in rows], total_tokens, whole)
 
     goals, table = [], []
     for mix in sorted({p[0] for p in planned}):

@@ -93,11 +93,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_draws(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
+    """Mixes as large as the supply of their sources; a source that is too small for its share is repeated as often as it may."""
+    return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"), whole=True)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
+    return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"), whole=True)[1]
 
 
 # Personal information

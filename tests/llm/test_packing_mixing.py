@@ -99,6 +99,19 @@ def test_mixture_with_a_fixed_total(spark):
     assert (s["a"]["status"], s["a"]["drawn_tokens"], s["a"]["n_draws"], s["b"]["drawn_tokens"]) == ("capped", 30, 3, 1000)
 
 
+def test_a_tiny_source_does_not_shrink_the_registered_mix(spark, tmp_path):
+    pytest.importorskip("tiktoken")
+    from codeweft.llm import queries
+
+    rows = [(i, "large", "some words of text " * 20) for i in range(40)] + [(99, "tiny", "one line")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "large", 0.95, 1), (1, "tiny", 0.05, 4)], "mix_id int, source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    s = {x["source"]: x for x in queries.p8_shares(spark, str(tmp_path)).collect()}
+    assert (s["tiny"]["status"], s["tiny"]["n_draws"], s["large"]["status"]) == ("capped", 4, "met")
+    assert s["large"]["drawn_tokens"] > 0.9 * s["large"]["supply_tokens"] and s["tiny"]["reached_share"] < 0.05
+    assert queries.p8_draws(spark, str(tmp_path)).where("source = 'large'").count() > 36
+
+
 def test_mixture_empty(spark):
     t = spark.createDataFrame([(1, "a", 0.5, 3)], "mix_id int, source string, target_share double, max_repeats int")
     none = spark.createDataFrame([], SIZES)
