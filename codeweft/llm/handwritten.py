@@ -50,11 +50,7 @@ def _limit(lang: Column, name: str) -> Column:
 
 
 def layout(content: Column) -> dict[str, Column]:
-    """Layout statistics of a text; an empty text has none (null shares).
-
-    Runs that encode something are looked for where less than a quarter of the
-    text is white space: a third of the text in such runs leaves no more.
-    """
+    """Layout statistics of a text; an empty text has none (null shares)."""
     n = F.length(content)
     # Counted by what is left when the rest is removed: no arrays of matches, all in the JVM.
     kept = lambda pattern: F.length(F.regexp_replace(content, pattern, "")) / F.nullif(n, F.lit(0))
@@ -69,7 +65,7 @@ def layout(content: Column) -> dict[str, Column]:
         "space": space,
         "alnum": 1 - kept(r"[\p{L}\p{N}]+"),
         "numeric": 1 - kept(literal),
-        "encoded": F.when(space < 0.25, 1 - kept(r"(?<![A-Za-z0-9+/=_\\-])[A-Za-z0-9+/=_\\-]{60,}+|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){8,}|(?<![0-9a-fA-F])(?:[0-9a-fA-F]{16,}+[\"' +\\n]*){3,}")).otherwise(F.when(n > 0, 0.0)),
+        "encoded": 1 - kept(r"(?<![A-Za-z0-9+/=_\\-])[A-Za-z0-9+/=_\\-]{60,}+|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){8,}|(?<![0-9a-fA-F])(?:[0-9a-fA-F]{16,}+[\"' +\\n]*){3,}"),
     }
 
 

@@ -67,6 +67,13 @@ def test_layout(spark):
     assert judge(spark, rows) == {"T.java": "data", "B.java": "data", "m.js": "minified", "d.py": "data"}
 
 
+def test_indented_blobs_are_data(spark):
+    r = random.Random(7)
+    blob = "package com.own.a;\nfinal class B {\n    static final String S = \"\"\n" + "".join(" " * 24 + '+ "' + "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) + '"\n' for _ in range(40)) + "    ;\n}\n"
+    assert sum(c.isspace() for c in blob) / len(blob) > 0.25
+    assert judge(spark, [("B.java", blob)]) == {"B.java": "data"}
+
+
 def test_nulls_and_empty(spark):
     assert judge(spark, [("a.js", None), ("b.java", ""), ("c.py", " \n "), (None, HAND)]) == {}
     f = spark.createDataFrame([], "path string, repo_id string, content string")
