@@ -50,11 +50,9 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_layout(spark: SparkSession, d: str) -> DataFrame:
-    """Number of lines statistics per language: files, longest line, characters."""
-    f = table(spark, d, "source_files").where("content is not null")
-    stats = handwritten.layout(F.col("content"))
-    f = f.select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("lang"), stats["n_chars"].cast("bigint").alias("n_chars"), stats["max_line"].cast("bigint").alias("max_line"))
-    return f.groupBy("lang").agg(F.count("*").alias("n_files"), F.max("max_line").alias("max_line"), F.sum("n_chars").alias("n_chars"))
+    """Layout per language of the files with text: how many, longest line, characters."""
+    f = handwritten.read(table(spark, d, "source_files"))
+    return f.groupBy("lang").agg(F.count("*").alias("n_files"), F.max("max_line").cast("bigint").alias("max_line"), F.sum("n_chars").alias("n_chars"))
 
 
 # Nearest vectors
@@ -120,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "p4_layout": r"""SELECT regexp_extract(path, '\.(\w+)$', 1) AS lang, count(*)::BIGINT AS n_files,
         max(list_max([length(x) FOR x IN regexp_split_to_array(content, '\r\n|\r|\n')]))::BIGINT AS max_line, sum(length(content))::BIGINT AS n_chars
-        FROM source_files WHERE content IS NOT NULL GROUP BY 1""",
+        FROM source_files WHERE regexp_matches(content, '\S') GROUP BY 1""",
     "p6_found": """WITH v AS (SELECT DISTINCT node_id AS id, embedding AS e FROM code_node_embedding
           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(embedding) IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         u AS (SELECT id, CAST(e AS DOUBLE[64]) AS e FROM v)

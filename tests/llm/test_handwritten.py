@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeweft.llm import handwritten as H
+from codeweft.llm import layout
 
 HAND = "package com.own.a;\n\nimport java.util.List;\n\npublic class A {\n    private int x;\n\n    public int get(int limit) {\n        int sum = 0;\n        for (int i = 0; i < limit; i++) {\n            sum += step(i, x);\n        }\n        return sum;\n    }\n}\n"
 
@@ -21,7 +23,7 @@ def judge(spark, rows):
     return {r["path"]: r["reason"] for r in H.not_handwritten(f, roots, repos).collect()}
 
 
-@pytest.mark.parametrize("mark", ["// Generated by the x compiler. DO NOT EDIT.\n", "/* @generated */\n", "// <auto-generated/>\n", "/*\n * Stub emitted by x-gen 3.1 out of a.wsdl.\n */\n", "// source: a.proto\n// Do not modify this file.\n", "// 本文件由模板自动生成，请勿手工修改\n", "// FICHERO GENERADO, NO MODIFICAR\n"])
+@pytest.mark.parametrize("mark", ["// Generated by the x compiler. DO NOT EDIT.\n", "/* @generated */\n", "// <auto-generated/>\n", "/*\n * Stub emitted by x-gen 3.1 out of a.wsdl.\n */\n", "// source: a.proto\n// Do not modify this file.\n", "// 本文件由模板自动生成，请勿手工修改\n", "// FICHERO GENERADO, NO MODIFICAR\n", "/*\n * This file was produced from a.xsd; manual changes will be lost.\n */\n", "// This module has been derived from the schema.\n"])
 def test_generated(spark, mark):
     assert judge(spark, [("A.java", mark + HAND)]) == {"A.java": "generated"}
 
@@ -58,6 +60,36 @@ def test_java_copies_in_a_package_of_the_host(spark):
     assert judge(spark, rows) == {k: "vendored" for k in ("lib/Steps.java", "own/support/Steps.java", "own/compat/Steps.java")}
 
 
+def test_generated_by_tail_and_folder(spark):
+    rows = [
+        ("A.java", HAND + "// checksum of the template: 1f, regenerate instead of editing\n"), ("/r/m/target/gen/com/own/a/B.java", HAND), ("/r/m/build/generated/sources/main/com/own/a/C.java", HAND),
+        ("/r/m/src/gen/java/com/own/a/D.java", HAND), ("/r/build/src/main/java/com/own/a/E.java", HAND), ("/r/m/src/main/java/com/own/gen/F.java", HAND.replace("com.own.a", "com.own.gen")),
+        ("/r/m/src/main/java/com/own/generated/target/G.java", HAND), ("/r/gen/h.js", js(3)), ("/r/build/i.js", js(4)),
+    ]
+    assert judge(spark, rows) == {k: "generated" for k in ("A.java", "/r/m/target/gen/com/own/a/B.java", "/r/m/build/generated/sources/main/com/own/a/C.java", "/r/m/src/gen/java/com/own/a/D.java", "/r/gen/h.js")}
+
+
+def test_statistics_of_a_text():
+    n, longest, mean, space, alnum, numeric, encoded = layout.statistics("añb 1, 22,\r\n\"ff\" x\rend".encode())
+    assert (n, longest, round(mean, 3)) == (22, 10, 7.333) and round(space, 4) == round(6 / 22, 4) and round(alnum, 4) == round(12 / 22, 4)
+    assert round(numeric, 4) == round((2 + 3 + 4) / 16, 4) and encoded == 0 and layout.statistics(b"") is None
+
+
+def test_rulers_are_not_encoded():
+    assert layout.statistics(b"# " + b"-" * 200 + b"\n" + b"=" * 90)[6] == 0
+
+
+def test_short_texts_have_no_layout(spark):
+    assert judge(spark, [("v.py", "V = [1, 2, 3, 4]\n"), ("w.js", "var a=1")]) == {}
+
+
+def test_shingles_follow_words():
+    a = layout.shingles(b"int a = b + c ; return d ; done now here")
+    assert a[0] == layout.shingles(b"int  a=b+c;return\nd;done now here")[0] and len(a[1]) == 5
+    assert layout.shingles(b"x y")[1].shape == (1,) and layout.shingles(b" ;; ") is None
+    assert layout.code_only(b"package a.b;\nimport x.Y;\n/* c */ class A { // d\n String u = \"http://x\"; }", True).split() == b'class A { String u = "http://x"; }'.split()
+
+
 def test_layout(spark):
     r = random.Random(1)
     table = "package com.own.a;\nfinal class T {\n    static final byte[] TABLE = {\n" + "".join("            " + ", ".join(str(r.randrange(-128, 127)) for _ in range(24)) + ",\n" for _ in range(60)) + "    };\n}\n"
@@ -95,6 +127,6 @@ def test_copies_equal_brute_force(spark):
         others.append((f"o{i}", "\n".join(lines)))
     s = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})([x for x in re.split(r"[^\w$]+", t) if x])
     want = {k for k, t in others if any(len(s(t) & s(b)) / len(s(t) | s(b)) >= 0.8 for b in base)}
-    df = lambda rows: spark.createDataFrame(rows, "key string, content string")
+    df = lambda rows: H.read(spark.createDataFrame([(f"{k}.js", "r", c) for k, c in rows], "path string, repo_id string, content string")).select(F.regexp_replace("path", ".js$", "").alias("key"), "cls", "n", "s")
     got = {x["key"] for x in H.copies(df(known), df(others)).collect()}
     assert got == want and 0 < len(want) < 30
