@@ -449,15 +449,26 @@ def _line(starts: list[int], at: int) -> int:
     return bisect.bisect_right(starts, at)
 
 
-def candidates(unit: Unit, name: str) -> list[str]:
-    """Qualified names a type name may stand for: its import, else the same package or as written."""
+def candidates(unit: Unit, name: str, inside: str = "") -> list[str]:
+    """Qualified names a type name may stand for, most likely first.
+
+    An explicit import decides alone. Else: as written if it looks qualified,
+    a type nested in ``inside`` or around it, the same package, the packages
+    imported as a whole. Which of them exists is for a join to say.
+    """
     head, _, tail = name.partition(".")
     for imp in unit.imports:
         if imp.rpartition(".")[2] == head and not imp.startswith("static "):
             return [imp + (f".{tail}" if tail else "")]
     if "." in name and head[:1].islower():
         return [name]
-    return [f"{unit.package}.{name}" if unit.package else name]
+    out = []
+    while inside and inside != unit.package:
+        out.append(f"{inside}.{name}")
+        inside = inside.rpartition(".")[0]
+    out.append(f"{unit.package}.{name}" if unit.package else name)
+    out += [f"{imp[:-2]}.{name}" for imp in unit.imports if imp.endswith(".*") and not imp.startswith("static ")]
+    return out
 
 
 def signature(d: Decl) -> str:
