@@ -1,11 +1,11 @@
 """Functions paired with their documentation.
 
-Every file is read once into declarations. Those form a symbol table across
-files, keyed by ``owner#name(normalised parameter types)``: a documented
-declaration without a body (interface, abstract class) is joined with the
-definition of the same overload in a type that names the owner as supertype,
-so that its pair gets the code that implements it. Filtering by documentation
-comes last.
+Every file is read once into declarations, which are written down. They form
+a symbol table across files, keyed by ``owner#name(normalised parameter
+types)``: a documented declaration without a body (interface, abstract class)
+is joined with the definition of the same overload in the nearest subtypes of
+its owner, so that its pair gets the code that implements it. Filtering by
+documentation comes last.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.session import cut
 from codeweft.sources import javaparse as J
 
 SCHEMA = (
-    "path string, repo_id string, method_id string, signature string, name string, owner string, overload string, supers array<string>, "
+    "path string, repo_id string, kind string, method_id string, signature string, name string, owner string, overload string, supers array<string>, "
     "has_body boolean, documented boolean, doc string, code string, code_key string"
 )
 
@@ -98,15 +100,18 @@ def says_something(text: str, d: J.Decl) -> bool:
 
 
 def _declared(unit: J.Unit, text: str) -> Iterator[tuple]:
-    supers = {d.name: [c for _, s in d.supers for c in J.candidates(unit, s)] for d in unit.decls if d.kind == "type"}
+    supers = {d.name: list(dict.fromkeys(c for _, s in d.supers for c in J.candidates(unit, s, d.owner))) for d in unit.decls if d.kind == "type"}
+    for name, above in supers.items():
+        if above:
+            yield ("type", None, None, name, name, None, above, False, False, None, None, None)
     for d in unit.decls:
         if d.kind != "method":
             continue
         overload = f"{d.name}({','.join(J.simple_type(t) for t, _ in d.params)})"
-        doc = main_text(d.doc) if d.doc else ""
+        doc = main_text(d.doc) if d.doc else None
         code = text[d.start : d.end]
         yield (
-            f"{d.owner}#{overload}", J.signature(d), d.name, d.owner, overload, supers.get(d.owner, []), d.has_body,
+            "method", f"{d.owner}#{overload}", J.signature(d), d.name, d.owner, overload, supers.get(d.owner, []), d.has_body,
             bool(doc) and says_something(doc, d), doc, code, hashlib.md5(code.encode("utf-8", "replace")).hexdigest(),
         )
 
@@ -125,7 +130,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Every method and constructor declared in the Java files of (path, repo_id, content).
+    """Every method and constructor declared in the Java files of (path, repo_id, content), and every type with supertypes.
 
     Null or empty content declares nothing, a null path is no Java file.
     """
@@ -133,28 +138,59 @@ def declarations(files: DataFrame) -> DataFrame:
     return java.mapInPandas(_read, SCHEMA)
 
 
+#: Levels of subtypes that are searched for a definition; deeper ones than any class has, so that cycles end.
+MOST_LEVELS = 64
+
+
+def definitions(bare: DataFrame, methods: DataFrame, links: DataFrame) -> DataFrame:
+    """(method_id, found): the definition of each declaration without a body, in the nearest subtypes that have one.
+
+    ``bare``: (method_id, owner, overload); ``methods``: (method_id, path,
+    code) of the definitions; ``links``: (sub, super). Of the definitions on
+    the nearest level the smallest (path, code) is taken. Definitions are
+    reduced to one per key before the join, so an overload defined a million
+    times weighs no more than one. What has none in any subtype has no row.
+    """
+    table = methods.groupBy("method_id").agg(F.min(F.struct("path", "code")).alias("found"))
+    below = links.select(F.col("super").alias("at"), "sub").distinct()
+    front = bare.select("method_id", "overload", F.col("owner").alias("at")).distinct()
+    out: list[DataFrame] = []
+    for _ in range(MOST_LEVELS):
+        step = front.join(below, "at").select("method_id", "overload", F.col("sub").alias("at"))
+        if out:
+            step = step.distinct()
+        step = cut(step.join(table.withColumnRenamed("method_id", "key"), F.concat_ws("#", "at", "overload") == F.col("key"), "left").drop("key"))
+        got = step.where("found is not null").groupBy("method_id").agg(F.min("found").alias("found"))
+        out.append(got)
+        front = step.where("found is null").drop("found").join(got, "method_id", "left_anti")
+        if front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
 def pairs(files: DataFrame) -> DataFrame:
     """Code-description pairs: (path, repo_id, method_id, signature, doc, code, code_path).
 
     One row per documented declaration of a file; several scans of a path with
     the same text give one row, with different texts one row each. ``code`` is
-    the definition: the declaration itself if it has a body, else the smallest
-    (path, code) among the definitions of that overload in direct subtypes of
-    its owner, else the bare declaration. ``code_path`` says where it stands.
-    Definitions are reduced to one per key before the shuffle, so an overload
-    defined a million times weighs no more than one.
+    the definition: the declaration itself if it has a body, else what
+    ``definitions`` finds in the subtypes of its owner, else the bare
+    declaration. ``code_path`` says where it stands. A pair without code is none.
     """
     d = declarations(files)
-    found = d.where("has_body").select(F.explode("supers").alias("super"), "overload", "path", "code")
-    found = found.groupBy(F.concat_ws("#", "super", "overload").alias("method_id")).agg(F.min(F.struct("path", "code")).alias("found"))
-    # All documented rows join, so that keys stay unique and spread; a declaration with a body keeps its own.
-    other = F.when(~F.col("has_body"), F.col("found"))
-    both = d.where("documented").join(found, "method_id", "left").withColumn("other", other)
-    return both.select("path", "repo_id", "method_id", "signature", "doc", F.coalesce("other.code", "code").alias("code"), F.coalesce("other.path", "path").alias("code_path")).distinct()
+    # What takes part: declarations with a comment, definitions in types that have supertypes, and the links of those.
+    d = cut(d.where("kind = 'type' or doc is not null or has_body and size(supers) > 0").drop("name", "code_key"))
+    links = d.where("kind = 'type'").select(F.col("owner").alias("sub"), F.explode("supers").alias("super"))
+    told = d.where("kind = 'method' and doc is not null")
+    found = definitions(told.where("not has_body and documented"), d.where("has_body and size(supers) > 0").select("method_id", "path", "code"), links)
+    # All declarations with a comment join, so that keys stay unique and spread; one with a body keeps its own. Trivial comments go afterwards.
+    both = told.join(found, "method_id", "left").withColumn("other", F.when(~F.col("has_body"), F.col("found")))
+    both = both.select("path", "repo_id", "method_id", "signature", "doc", "documented", F.coalesce("other.code", "code").alias("code"), F.coalesce("other.path", "path").alias("code_path"))
+    return both.where("documented and code <> ''").drop("documented").distinct()
 
 
 def symbol_table(files: DataFrame) -> DataFrame:
     """Overloads per owner and name across all files: how often declared, defined and documented."""
-    return declarations(files).groupBy("owner", "name", "overload").agg(
+    return declarations(files).where("kind = 'method'").groupBy("owner", "name", "overload").agg(
         F.countDistinct("path").alias("n_files"), F.count_if("has_body").alias("n_definitions"), F.count_if("documented").alias("n_documented"), F.countDistinct("code_key").alias("n_texts")
     )

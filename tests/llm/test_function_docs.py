@@ -75,3 +75,36 @@ def test_empty_and_extra_columns(spark):
     assert D.pairs(none).count() == 0 and D.symbol_table(none).count() == 0
     more = spark.createDataFrame([("A.java", None, "class A { /** Keeps a bounded history of failures. */ void m() { } }", 1, "x")], FILES + ", doc int, owner string")
     assert [r["method_id"] for r in D.pairs(more).collect()] == ["A#m()"]
+
+
+def test_definitions_in_nearest_subtypes(spark):
+    good = "/** Moves the cursor past entries that were already acknowledged. */"
+    rows = [
+        ("I.java", f"package p; public interface I {{ {good} int go(java.util.List<String> x); {good} int none(); }}"),
+        ("J.java", "package p; public interface J extends I { }"),
+        ("K.java", "package q; import p.*; abstract class K implements J { class In extends K { public int none() { return 9; } } }"),
+        ("Z.java", "package q; class Z extends K { public int go(List<Integer> y) { return 1; } }"),
+        ("Y.java", "package q; class Y extends K { public int go(List<Integer> y) { return 2; } }"),
+        ("X.java", "package q; class X extends Y { public int go(List<Integer> y) { return 0; } }"),
+        ("A.java", f"package c; abstract class A extends B {{ {good} abstract void loop(); }}"), ("B.java", "package c; abstract class B extends A { }"),
+    ]
+    files = spark.createDataFrame([(p, "r", c) for p, c in rows], FILES)
+    got = {r["method_id"]: (r["code"], r["code_path"]) for r in D.pairs(files).collect()}
+    # Brute force: subtypes level by level, the smallest (path, code) of the first level that has a definition.
+    d = [r for r in D.declarations(files).collect()]
+    subs = {(s, r["owner"]) for r in d if r["kind"] == "type" for s in r["supers"]}
+    for r in d:
+        if r["kind"] == "method" and r["documented"]:
+            front, seen, best = {r["owner"]}, set(), None
+            while front and best is None:
+                seen |= front
+                front = {b for a, b in subs if a in front} - seen
+                best = min(((x["path"], x["code"]) for x in d if x["owner"] in front and x["overload"] == r["overload"] and x["has_body"]), default=None)
+            assert got[r["method_id"]] == ((best[1], best[0]) if best else (r["code"], r["path"]))
+    assert got["p.I#go(List)"][1] == "Y.java" and got["p.I#none()"][1] == "K.java" and got["c.A#loop()"][1] == "A.java"
+
+
+def test_found_comes_through_the_join(spark):
+    files = spark.createDataFrame([("A.java", "r", "class A { /** Keeps a bounded history of failures. */ void m() { } }")], FILES)
+    plan = D.pairs(files).select("path", "method_id").distinct()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
