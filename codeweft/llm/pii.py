@@ -6,9 +6,10 @@ it runs in one pass without a shuffle. Offsets count code points.
 
 from __future__ import annotations
 
-import hashlib
+
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,12 +50,18 @@ _PHONE = re.compile(
             _EDGE + r"0\d{2,5}/\d{4,9}(?:-\d{1,5})?",
             _EDGE + r"0\d(?:[. ]\d{2}){4}",
             _EDGE + r"0\d{3,4}[ \-]\d{3}[ \-]?\d{3,4}",
+            _EDGE + r"0\d{1,2}[ \-]\d{4}[ \-]\d{4}",
             _EDGE + r"1[3-9]\d{9}",
         )
     )
     + ")"
     + _STOP
 )
+# What announces a telephone number, in whatever layout it then comes.
+_NUMBER_RUN = re.compile(r"(?=[+(\d])(?<![\w.@#/+\-(])[+(]?\d{2,5}\)?(?:[ .\-/]\d{2,5}){1,4}" + _STOP)
+_CALL = re.compile(
+    r"(?i)(?:\b(?:tel|phone|call|ring|mobile|cell|fax|telefon|handy|anrufen|tel[eé]fono|m[oó]vil|llamar)\b\.?(?: (?:number|nummer|no\.|me|us|him|her|them))?(?: (?:at|on|is|unter|al))?[:：]? ?|(?:电话|手机|致电)[:：]? ?)\Z"
+)
 _IDS = re.compile(
     r"(?=[A-Z\d])(?:(?<![\w.\-])\d{3}([\- ])\d{2}\1\d{4}(?![\w\-]|\.\d)"
     r"|(?<![A-Za-z0-9])[A-CEGHJ-PQRST-Z][A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])"
@@ -77,8 +84,8 @@ _DE = re.compile(
     rf"|(?<![\w\-])(?:[A-ZÄÖÜ][\wäöüß\-]*[ \-])(?:Str\.|Straße|Strasse|Weg|Platz|Gasse|Allee|Ring|Damm|Ufer) {_NUMBER}{_TAIL}"
     rf"|(?<![\w\-])(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der|Beim) [A-ZÄÖÜ][\wäöüß\-]+ {_NUMBER},? ?\d{{4,5}} {_UP}"
 )
-#: What every German address has; found fast, where the whole pattern would be tried at each word.
-_DE_HINT = re.compile(r"(?:tr\.|ra(?:ß|ss)e|eg|atz|asse|llee|ing|amm|fer) \d|[AIZUHB](?:[mn]|uf|u[mr]|nter|inter|eim) [A-ZÄÖÜd]")
+#: What every German address has, found fast, where the whole pattern would be tried at each word: an ending before a number, or a preposition.
+_DE_HINTS = (re.compile(r" \d(?<=(?:tr\.|aße|sse|weg|atz|lee|ing|amm|fer) \d)"), re.compile(r"[AIZUHB](?:[mn]|uf|u[mr]|nter|inter|eim) [A-ZÄÖÜd]"))
 _ES = re.compile(rf"(?=[CAPRV])(?<![\w/])(?:Calle|C/|C\.|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carretera|Ctra\.|Ronda|Rue|Via) ?(?:de la |de los |de las |del |de )?{_UP}(?: (?:de |del |la )*{_UP}){{0,2}},? {_NUMBER}{_TAIL}")
 _ZH = re.compile(r"([一-鿿]{1,12}?)(大街|大道|路|街|巷|胡同|弄)(\d{1,5})号(?:[一-鿿]?\d{1,4}(?:号楼|单元|栋|幢|楼|层|室|座|号))*")
 _ZH_CUT = re.compile("[在于到址是住为至往给向]")
@@ -91,12 +98,46 @@ _INIT = r"[A-ZÀ-ÖØ-Þ]\."
 _GIVEN = rf"(?:{_WORD}|{_INIT}(?:[ \-]?{_INIT})*)"
 _MIDDLE = rf"(?: {_INIT})*"
 _FAMILY = rf"{_PARTICLE}?{_WORD}"
-#: What stands before a person in these kinds of text.
+# Roles that people have, and what is done by, with or to people, in the languages of the texts.
+_ROLE = (
+    "owner|co-owner|author|co-author|reviewer|assignee|assigned to|contact|contact person|maintainer|manager|approver|reporter|editor|lead|team lead|committer|tester|engineer|developer|responsible|on call|on-call|"
+    "from|to|cc|bcc|attn|signed|name|sender|recipient|autor|autorin|prüfer|prüferin|ansprechpartner|ansprechpartnerin|bearbeiter|bearbeiterin|verantwortlich|verantwortliche|zuständig|kontakt|gemeldet|"
+    "autora|revisor|revisora|responsable|contacto|encargado|encargada|asignado a|remitente"
+)
+_BY = (
+    "written|reviewed|reported|reported first|handled|handed over|fixed|found|raised|approved|merged|opened|requested|proposed|implemented|tested|confirmed|signed|signed off|authored|committed|suggested|noticed|debugged|maintained|owned"
+)
+_WITH = "talked|talk|spoke|speak|spoken|met|meet|chatted|paired|checked|agreed|worked|discussed|coordinate|coordinated|reviewed|reviewed together|sync|synced"
+_TO = "ask|contact|ping|call|notify|inform|thank|remind|consult|email"
 _TRIGGER = (
-    r"(?:(?:[Ss]igned-off|[Rr]eviewed|[Aa]cked|[Tt]ested|[Rr]eported|[Ss]uggested|[Aa]uthored|[Cc]ommitted|[Dd]eveloped)-by: ?|\b[Rr]eviewed together with |\b[Rr]eported first by |\b[Hh]anded over by |\b(?:talked|spoke) (?:to|with) |\b[Pp]lease ask "
-    r"|\b[Cc]onsultar con |\b[Bb]itte vorher |\b[Rr]evisado por |\b[Gg]eprüft von |\b[Zz]uständig: ?|\b[Rr]esponsable: ?|评审人: ?|请先联系 ?|负责人: ?|\bFrom: ?|\bTo: ?|\bCc: ?|\bAuthor: ?|@author |\bcc |TODO\(|FIXME\(|\b(?:Dr|Mr|Mrs|Ms|Prof|Hr|Fr)\. )"
+    rf"(?:(?i:(?<!\w)(?:(?:{_ROLE}|[a-z]+(?:ed|ed-off)-by): ?|(?:{_BY}) by |(?:{_WITH}) (?:to|with) |(?:please )?(?:{_TO}) |thanks to |hand(?:ed)? over to |@author |cc |"
+    r"(?:geprüft|gemeldet|freigegeben|geschrieben|erstellt|übergeben) (?:von|an) |(?:rücksprache|besprochen|abgestimmt|gesprochen) mit |bitte vorher |bitte (?:an|bei|mit) |"
+    r"(?:revisado|informado|aprobado|escrito) por |(?:consultar|hablar|coordinar|revisar) con |preguntar a ))"
+    r"|(?:评审人|负责人|作者|联系人|审核人|提交人|报告人): ?|(?:请先联系|请联系|联系|咨询) ?|TODO\(|FIXME\(|\b(?:Dr|Mr|Mrs|Ms|Prof|Hr|Fr|Herr|Frau|Sr|Sra)\.? )"
+)
+_CUE = re.compile(rf"{_TRIGGER}(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra)\.? )?\Z")
+#: What stands right before a name after a cue; most words do not, so the long pattern is tried seldom.
+_LAST = frozenset(f"by to with {_TO.replace('|', ' ')} over author @author cc von an mit bei vorher por con a dr mr mrs ms prof hr fr herr frau sr sra {_ROLE.replace('|', ' ')}".split())
+
+_LAST_WORD = re.compile(r"(@?[^\W\d_]+)\.?\Z")
+
+
+def _cued(t: str, at: int) -> bool:
+    """Whether a cue for a person ends at ``at``."""
+    before = t[max(0, at - 60) : at]
+    last = before.rstrip(" ")
+    if not last or last[-1] not in ":(：" and not ("一" <= last[-1] <= "鿿"):
+        word = _LAST_WORD.search(last)
+        if not word or word[1].lower() not in _LAST:
+            return False
+    return bool(_CUE.search(before))
+
+
+# Words that begin with a capital after a cue without being a person's.
+_NO_NAME = frozenset(
+    """Team Group Service Services Support Platform Module Release Branch Build Project Queue Desk List Board Office Operations Engineering Security Release Core System Server Ticket Issue Customer Customers Users The This That Our Your All Any
+    Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Abteilung Gruppe Equipo Grupo""".split()
 )
-_CUE = re.compile(rf"{_TRIGGER}(?:(?:Dr|Mr|Mrs|Ms|Prof)\. )?\Z")
 _OWNED = re.compile(rf"(?<![\w'\-.@])(?P<n>(?P<fam1>{_FAMILY}), (?P<giv1>{_GIVEN}{_MIDDLE})|(?P<giv2>{_GIVEN}{_MIDDLE}) (?P<fam2>{_FAMILY}))(?='s [a-z])")
 _TURNED_HINT = re.compile(r"[A-Za-zÀ-ÿ], [A-ZÀ-ÖØ-Þ]")
 _HAN = re.compile(r"([一-鿿]{1,8})[·・•]([一-鿿]{1,8})")
@@ -112,7 +153,7 @@ class Detector:
         self.han_given = sorted((p for p, k in parts if p and not re.match(r"[A-Za-zÀ-ÿ]", p) and k == "given"), key=len, reverse=True)
         self.han_family = sorted((p for p, k in parts if p and not re.match(r"[A-Za-zÀ-ÿ]", p) and k == "family"), key=len, reverse=True)
         # Any two neighbouring name-like words; what they are is looked up, so the pattern doesn't grow with the list.
-        self.near = re.compile(rf"(?<![\w'\-.@])(?=(?P<n>(?P<giv>{_GIVEN})(?P<more>(?: {_WORD})??)(?P<mid>{_MIDDLE}) (?P<fam>{_FAMILY})))")
+        self.near = re.compile(rf"(?=[A-ZÀ-ÖØ-Þ])(?<![\w'\-.@])(?=(?P<n>(?P<giv>{_GIVEN})(?P<more>(?: {_WORD})??)(?P<mid>{_MIDDLE}) (?P<fam>{_FAMILY})))")
         self.turned = re.compile(rf"(?<![\w'\-.@])(?=(?P<n>(?P<fam>{_FAMILY}), (?P<giv>{_GIVEN}{_MIDDLE})))")
 
     def _known_given(self, s: str) -> bool:
@@ -141,7 +182,7 @@ class Detector:
         if _SPOKEN_HINT.search(t):
             for m in _SPOKEN.finditer(t):
                 add("email", *m.span(), _email_entity(m[0]))
-        for rx in (_EN, _DE, _ES) if _DE_HINT.search(t) else (_EN, _ES):
+        for rx in (_EN, _DE, _ES) if any(h.search(t) for h in _DE_HINTS) else (_EN, _ES):
             for m in rx.finditer(t):
                 a = m.start()
                 b = a + len(m[0].rstrip(" ,"))
@@ -164,6 +205,9 @@ class Detector:
                 while not t[b - 1].isdigit():
                     b -= 1
                 add("phone", m.start(), b, _phone_entity(m[0]))
+        for m in _NUMBER_RUN.finditer(t):
+            if 9 <= m.end() - m.start() and 7 <= len(re.sub(r"\D", "", m[0])) <= 15 and _CALL.search(t, max(0, m.start() - 40), m.start()):
+                add("phone", *m.span(), _phone_entity(m[0]))
         for kind, a, b, e in self.names(t):
             add(kind, a, b, e)
         return sorted(out, key=lambda x: x[1])
@@ -182,7 +226,7 @@ class Detector:
         if near or turned:
             for m in turned:
                 a, b = m.span("n")
-                if _CUE.search(t, max(0, a - 40), a):
+                if _cued(t, a) and _nameable(m["n"]):
                     yield ("person_name", a, b, _name_entity(m["giv"], m["fam"]))
             end = 0
             for m in near:
@@ -191,7 +235,7 @@ class Detector:
                 if a < end or more and more not in self.given:
                     continue
                 name = ("person_name", a, b, _name_entity(f"{giv} {more}".strip() + m["mid"], fam))
-                if _CUE.search(t, max(0, a - 40), a):
+                if _cued(t, a) and _nameable(m["n"]):
                     yield name
                 elif not (self._known_given(giv) or self._known_family(fam)):
                     continue
@@ -213,7 +257,7 @@ class Detector:
             for m in _HAN.finditer(t):
                 g = next((p for p in self.han_given if m[1].endswith(p)), m[1] if len(m[1]) <= 4 else m[1][-3:])
                 f = next((p for p in self.han_family if m[2].startswith(p)), m[2] if len(m[2]) <= 4 else m[2][:4])
-                yield ("person_name", m.start(2) - 1 - len(g), m.start(2) + len(f), f"{g} {f}")
+                yield ("person_name", m.start(2) - 1 - len(g), m.start(2) + len(f), _name_entity(g, f))
 
 
 def _email_entity(s: str) -> str:
@@ -228,7 +272,12 @@ def _phone_entity(s: str) -> str:
 
 
 def _name_entity(given: str, family: str) -> str:
-    return " ".join(f"{given} {family}".casefold().split())
+    """``family|given``, so that both orders of a name agree."""
+    return " ".join(f"{family}|{given}".casefold().split())
+
+
+def _nameable(s: str) -> bool:
+    return not _NO_NAME.intersection(re.split(r"[ ,\-]+", s))
 
 
 def detect(docs: DataFrame, name_parts: DataFrame) -> DataFrame:
@@ -262,12 +311,34 @@ def detect(docs: DataFrame, name_parts: DataFrame) -> DataFrame:
 
 _ONSET = "b br c d dr f g gr h j k l m n p pr qu r s st t tr v w z".split()
 _NUCLEUS = "a e i o u ae ei ia".split()
-_HAN_POOL = "安柏晨达恩芳格海嘉凯兰铭宁鹏清瑞森婷文欣雅泽"
+_HAN_POOL = "安柏晨达恩芳格海嘉凯兰铭宁鹏清瑞森婷文欣雅泽书远航静怡博涵君诚立春秋松竹梅光明德高山云飞建国永平和美玉珍华"
+# Given names whose ending tells the wrong gender.
+_FEMALE = frozenset("carmen ingrid karen ruth esther heather elizabeth margaret astrid birgit doris iris judith kathrin katrin karin beatriz isabel raquel pilar dolores mercedes rosario consuelo inés agnes gertrud hannelore ingeborg sigrid erin megan lauren allison kim jean joan janet meredith".split())
+_MALE = frozenset("luca andrea joshua nikita sasha mika borja elia ezra noah jonah micah nicola uwe helge hauke heinz-eva bela attila mustafa isa musa garcía".split())
+# The words of an address that say what kind of place it is; they stay.
+_KEPT = frozenset((_EN_STREET + "|apt|apartment|unit|suite|ste|flat|floor|fl|room|rm|north|south|east|west|n|s|e|w|calle|c|avda|av|avenida|plaza|pza|paseo|p|camino|carretera|ctra|ronda|rue|via|de|la|las|los|del|el|am|an|der|den|im|in|auf|dem|zum|zur|unter|hinter|beim|str|straße|strasse|weg|platz|gasse|allee|ring|damm|ufer").casefold().split("|"))
+_TAILS = re.compile(r"(?i)(?<=\w)(?:straße|strasse|str|weg|platz|gasse|allee|ring|damm|ufer)$")
+_PLACE = re.compile(r"\d+|[A-Za-zÀ-ÖØ-öø-ÿß]+(?:['\-][A-Za-zÀ-ÖØ-öø-ÿß]+)*|大街|大道|胡同|号楼|单元|[路街巷弄号楼栋幢层室座省市区县镇]|[一-鿿]|.", re.S)
+_PARTICLES = re.compile(rf"(?i){_PARTICLE}")
 
 
 @lru_cache(maxsize=200_000)
 def _bits(key: bytes, kind: str, entity: str, attempt: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{kind}\x00{entity}\x00{attempt}".encode(), hashlib.sha256).digest(), "big")
+    said = f"{kind}\x00{entity}\x00{attempt}".encode()
+    return int.from_bytes(b"".join(hmac.digest(key, said + bytes([i]), "sha512") for i in range(2)), "big")
+
+
+@lru_cache(maxsize=100)
+def _letters(key: bytes) -> dict[str, str]:
+    """A keyed permutation of the letters: what initials become."""
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return dict(zip(abc, sorted(abc, key=lambda c: hmac.digest(key, b"letter" + c.encode(), "sha256"))))
+
+
+def _letter(key: bytes, c: str) -> str:
+    c = unicodedata.normalize("NFD", c.upper())[0]
+    known = _letters(key)
+    return known.get(c) or known["ABCDEFGHIJKLMNOPQRSTUVWXYZ"[ord(c) % 26]]
 
 
 def _draw(n: int, pool) -> tuple[int, str]:
@@ -288,16 +359,87 @@ def _cased(like: str, s: str) -> str:
     return s.upper() if like.isupper() and len(like) > 1 else s.lower() if like.islower() else s
 
 
+def _digits(n: int, like: str) -> tuple[int, str]:
+    out = ""
+    for i, c in enumerate(like):
+        n, d = _draw(n, "123456789" if i == 0 and c != "0" else "0123456789")
+        out += chr(ord(d) + 0xFEE0) if ord(c) > 0xFF00 else d
+    return n, out
+
+
+def gender(given: str) -> str:
+    """``f``, ``m`` or ``u`` (open) by a short list and the ending of a given name."""
+    g = given.casefold()
+    if g in _FEMALE:
+        return "f"
+    if g in _MALE:
+        return "m"
+    return "f" if g.endswith(("a", "ie", "ine", "elle", "ette")) else "u" if g.endswith(("e", "i", "y")) else "m"
+
+
+_ENDS = {"f": ("a", "ia", "ina"), "m": ("n", "r", "ld", "s"), "u": ("i", "e", "y")}
+
+
+def pieces(kind: str, surface: str, entity: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, entity) of the parts of a span that are replaced one by one.
+
+    A name has its given names, initials and family names, each an entity of
+    its own, so that ``J. Smith``, ``Smith, John`` and ``JOHN SMITH`` stay
+    recognisable as one; particles, hyphens and the order stay. Everything
+    else is one piece.
+    """
+    if kind != "person_name":
+        return [(0, len(surface), kind, entity)]
+    family = entity.partition("|")[0]
+    comma, dot = surface.find(", "), re.search("[·・•]", surface)
+    if dot:
+        return [(0, dot.start(), "given", surface[: dot.start()]), (dot.end(), len(surface), "family", surface[dot.end() :])]
+    a, b = (0, comma) if comma >= 0 and surface[:comma].casefold() == family else (len(surface) - len(family), len(surface))
+    out = []
+    m = _PARTICLES.match(surface, a, b)
+    for w in re.finditer(r"(?:[^\W\d_]')?([^\s\-]+)", surface[m.end() if m and m.end() < b else a : b]):
+        at = (m.end() if m and m.end() < b else a) + w.start(1)
+        out.append((at, at + len(w[1]), "family", w[1].casefold()))
+    x, y = (b + 1, len(surface)) if a == 0 and b < len(surface) else (0, a)
+    for w in re.finditer(r"[^\s\-,.]+", surface[x:y]):
+        out.append((x + w.start(), x + w.end(), "initial" if len(w[0]) == 1 else "given", w[0].casefold()))
+    return sorted(out)
+
+
 def surrogate(key: bytes, kind: str, entity: str, surface: str, attempt: int = 0) -> str:
-    """A replacement for ``surface`` that depends on the entity only, apart from its layout.
+    """A replacement for a piece that depends on its entity only, apart from its layout.
 
     Digits are drawn anew within the layout of numbers (the country prefix
-    stays); names keep script, case, order, initials and the usual ending of
-    their gender; mailboxes end in the reserved ``example``.
+    stays). Given names keep their gender, and their first letter follows the
+    same keyed permutation as initials do. Names and addresses keep script and
+    case, addresses also the words for the kind of place, their numbers'
+    lengths, unit, postcode and town. Mailboxes of one domain stay in one
+    domain, which ends in the reserved ``example``.
     """
     if attempt < 0:  # nothing free was found: made distinct by force
         return f"{surrogate(key, kind, entity, surface)}-{_bits(key, kind, entity, -1) & (2**64 - 1):016x}"
     n = _bits(key, kind, entity, attempt)
+    han = bool(re.search("[一-鿿]", surface))
+    if kind == "initial":
+        return surface if han else _letter(key, surface)
+    if kind == "given" or kind == "family":
+        if han:
+            s = ""
+            for _ in range(len(surface) + (attempt > 3)):
+                n, c = _draw(n, _HAN_POOL)
+                s += c
+            return s
+        if kind == "family":
+            n, end = _draw(n, ("n", "r", "l", "sen", "mar", "wick"))
+            n, s = _latin_word(n, 2 + (attempt > 0), end)
+        else:
+            first = _letter(key, surface[0])
+            n, mid = _draw(n, _NUCLEUS[:5]) if first not in "AEIOU" else _draw(n, ("l", "r", "n", "d", "m"))
+            n, rest = _latin_word(n, 1 + (attempt > 0), "")
+            n, end = _draw(n, _ENDS[gender(entity)])
+            stem = first + mid + (rest if mid in "aeiou" else rest[-2:] + rest).lower()
+            s = stem.rstrip("aeiou") + end if end[0] in "aeiouy" else stem + end
+        return _cased(surface, s)
     if kind in ("phone", "id_number"):
         keep = len(re.match(r"\+?\d{1,2}(?=[ (])|\+1|\+|", surface)[0]) if kind == "phone" and surface.startswith("+") else 0
         out = []
@@ -312,57 +454,92 @@ def surrogate(key: bytes, kind: str, entity: str, surface: str, attempt: int = 0
                 out.append(ch)
         return "".join(out)
     if kind == "email":
-        n, a = _latin_word(n, 3, "n")
-        n, b = _latin_word(n, 2, "l")
-        s = f"{a}.{b}@{b}mail.example".lower()
+        local, _, domain = entity.partition("@")
+        words = []
+        for part in re.split(r"([._+\-])", local or "x"):
+            if part and part not in "._+-":
+                n, part = _latin_word(n, 2, "n")
+            words.append(part)
+        _, host = _latin_word(_bits(key, "domain", domain, 0), 2, "l")
+        at = (re.search(r"[ \t]?[\[({<][ \t]?(?:at|arroba|@)[ \t]?[\])}>][ \t]?| (?:at|arroba) |@|＠", surface, re.I) or [" at "])[0]
+        dot = (re.search(r"[ \t]?[\[({<][ \t]?(?:dot|punto|punkt|\.)[ \t]?[\])}>][ \t]?| (?:dot|punto|punkt) ", surface, re.I) or ["."])[0]
+        s = "".join(words).lower() + at + f"{host}mail".lower() + dot + "example"
         return s.upper() if surface.isupper() else s
-    if kind == "address":
-        n, a = _latin_word(n, 3, "n")
-        if re.search("[一-鿿]", surface):
-            n, x = _draw(n, _HAN_POOL)
-            n, y = _draw(n, _HAN_POOL)
-            return f"{x}{y}路{n % 9000 + 1}号"
-        house = str(n % 9000 + 1)
-        return f"{a}weg {house}" if _DE.match(surface) else f"Calle {a} {house}" if _ES.match(surface) else f"{house} {a} Street"
-    if re.search("[一-鿿]", surface):
-        s = ""
-        for i in range(5):
-            n, c = _draw(n, _HAN_POOL)
-            s += c + ("·" if i == 1 else "")
-        return s
-    turned = "," in surface
-    given, family = entity.split(" ")[0], entity.split(" ")[-1]
-    # The ending of a given name is the only hint at its gender: a, e and i are kept, else it ends in a consonant.
-    end = given.rstrip(".")[-1:]
-    n, f = _latin_word(n, 3, "n" if len(family) % 2 else "r")
-    n, g = _latin_word(n, 2, "l" + end if end in "aei" and len(given) > 2 else "n")
-    if len(given.rstrip(".")) == 1:
-        g = g[0] + "."
-    whole = f"{f}, {g}" if turned else f"{g} {f}"
-    return whole.upper() if surface.isupper() else whole
-
-
-def surrogates(spans: DataFrame, key: str, rounds: int = 6) -> DataFrame:
+    out = []
+    for m in _PLACE.finditer(surface):
+        w = m[0]
+        if w.isdigit():
+            n, w = _digits(n, w)
+        elif re.fullmatch("[一-鿿]", w) and w not in "路街巷弄号楼栋幢层室座省市区县镇":
+            n, w = _draw(n, _HAN_POOL)
+        elif w[0].isalpha() and ord(w[0]) < 0x2E80 and w.casefold() not in _KEPT:
+            tail = _TAILS.search(w)
+            if len(w) <= 2:
+                fresh = ""
+                for c in w:
+                    n, d = _draw(n, "abcdefgh" if c.islower() else "ABCDEFGHJKLMNPRSTUWXY")
+                    fresh += d
+                w = fresh
+            else:
+                n, end = _draw(n, ("n", "r", "l", "nd", "m"))
+                n, fresh = _latin_word(n, (2 if len(w) < 8 else 3) + (attempt > 0), end)
+                w = _cased(w, fresh + (tail[0].lower() if tail else ""))
+        out.append(w)
+    return "".join(out)
+
+
+def _same_form(kind: str, s: str) -> str:
+    """The form in which surrogates and real entities of a kind are compared."""
+    t = s.translate(_NARROW)
+    if kind == "email":
+        return _email_entity(t)
+    if kind == "phone":
+        return _phone_entity(t)
+    if kind == "id_number":
+        return re.sub(r"[ \-]", "", t).upper()
+    return " ".join(s.casefold().split())
+
+
+PIECES = "doc_id bigint, span_kind string, span_start int, span_end int, start_pos int, end_pos int, kind string, entity string, surface string"
+
+
+def span_pieces(spans: DataFrame) -> DataFrame:
+    """PIECES of every span: what is replaced, and where."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [c.split()[0] for c in PIECES.split(", ")]
+        for b in batches:
+            rows = []
+            for i, k, x, y, s, e in zip(b["doc_id"], b["kind"], b["start_pos"], b["end_pos"], b["surface"], b["entity"]):
+                rows += [(i, k, x, y, x + p, x + q, kind, ent, s[p:q]) for p, q, kind, ent in pieces(k, s, e)]
+            yield pd.DataFrame(rows, columns=cols)
+
+    return spans.select("doc_id", "kind", "start_pos", "end_pos", "surface", "entity").mapInPandas(run, PIECES)
+
+
+def surrogates(parts: DataFrame, key: str, rounds: int = 6) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate is not their own.
 
-    Two different entities of a kind must not get one surrogate. Entities are
-    reduced to one row each before anything else; those whose normal surrogate
-    collides draw again, all but the first of each group, ``rounds`` times at
-    most; those that still collide (a layout with too few values) get attempt
-    -1, which appends a keyed mark. The result is empty unless there were
-    collisions.
+    Two different entities of a kind must not get one surrogate, nor may a
+    surrogate be an entity that really occurs. Entities are reduced to one row
+    each before anything else; those whose surrogate collides draw again (of a
+    group all but the first), ``rounds`` times at most; those that still
+    collide (a layout with too few values) get attempt -1, which appends a
+    keyed mark. Initials follow a permutation and never collide. The result is
+    empty unless there were collisions.
     """
-    ent = spans.groupBy("kind", "entity").agg(F.min("surface").alias("surface")).withColumn("attempt", F.lit(0))
-    ent = ent.withColumn("s", _udf(key)("kind", "entity", "surface", "attempt"))
-    ent = cut(ent)
-    clash = F.row_number().over(W.partitionBy("kind", F.lower("s")).orderBy("attempt", "entity")) > 1
+    ent = parts.where("kind <> 'initial'").groupBy("kind", "entity").agg(F.min("surface").alias("surface")).withColumn("attempt", F.lit(0))
+    ent = cut(ent.withColumn("s", _form_udf(key)("kind", "entity", "surface", "attempt")))
+    real = ent.select("kind", F.col("entity").alias("s"), F.lit(True).alias("real"))
+    clash = (F.row_number().over(W.partitionBy("kind", "s").orderBy("attempt", "entity")) > 1) | F.col("real").isNotNull()
     for last in [False] * rounds + [True]:
-        ranked = ent.withColumn("again", clash)
+        ranked = cut(ent.join(real, ["kind", "s"], "left").withColumn("again", clash).drop("real"))
         if ranked.where("again").isEmpty():
             break
         step = F.lit(-1) if last else F.col("attempt") + 1 + F.pmod(F.xxhash64("entity"), F.lit(1_000_000)).cast("int")
-        ranked = ranked.withColumn("attempt", F.when(F.col("again"), step).otherwise(F.col("attempt"))).drop("again")
-        ent = cut(ranked.withColumn("s", _udf(key)("kind", "entity", "surface", "attempt")))
+        more = ranked.where("again").withColumn("attempt", step)
+        more = more.withColumn("s", _form_udf(key)("kind", "entity", "surface", "attempt"))
+        ent = ranked.where("not again").unionByName(more).drop("again")
     return ent.where("attempt <> 0").select("kind", "entity", "attempt")
 
 
@@ -376,30 +553,52 @@ def _udf(key: str):
     return draw
 
 
+def _form_udf(key: str):
+    secret = key.encode()
+
+    @F.pandas_udf("string")
+    def draw(kind: pd.Series, entity: pd.Series, surface: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([_same_form(k, surrogate(secret, k, e, s, int(a))) for k, e, s, a in zip(kind, entity, surface, attempt)], dtype=object)
+
+    return draw
+
+
 def redact(docs: DataFrame, name_parts: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_spans): every span replaced by ``[kind: surrogate]``, the rest untouched.
 
     One entity gets the same surrogate everywhere (under one ``key``), two
-    entities never the same one. Documents without text keep what they have.
+    entities never the same one, and none a real one. The texts are searched
+    once; the spans found are written down. Documents without text keep what
+    they have.
     """
-    spans = detect(docs, name_parts)
-    again = surrogates(spans, key)
-    named = spans.join(again, ["kind", "entity"], "left").withColumn("s", _udf(key)("kind", "entity", "surface", F.coalesce("attempt", F.lit(0))))
-    per_doc = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", F.concat(F.lit("["), "kind", F.lit(": "), "s", F.lit("]")).alias("put")))).alias("x"))
+    parts = cut(span_pieces(detect(docs, name_parts)))
+    again = surrogates(parts, key)
+    named = parts.join(again, ["kind", "entity"], "left").withColumn("s", _udf(key)("kind", "entity", "surface", F.coalesce("attempt", F.lit(0))))
+    per_doc = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "span_start", "span_end", "span_kind", "s"))).alias("x"))
 
     @F.pandas_udf("string")
     def put(text: pd.Series, x: pd.Series) -> pd.Series:
         out = []
-        for t, spans in zip(text, x):
-            if t is None or spans is None:
+        for t, found in zip(text, x):
+            if t is None or found is None:
                 out.append(t)
                 continue
-            parts, at = [], 0
-            for s in spans:
-                parts += [t[at : s["start_pos"]], s["put"]]
-                at = s["end_pos"]
-            out.append("".join(parts) + t[at:])
+            done, at, open_ = [], 0, None
+            for p in found:
+                if open_ is not None and p["span_start"] != open_[0]:
+                    done += [t[at : open_[1]], "]"]
+                    at, open_ = open_[1], None
+                if open_ is None:
+                    done += [t[at : p["span_start"]], f"[{p['span_kind']}: "]
+                    at, open_ = p["span_start"], (p["span_start"], p["span_end"])
+                done += [t[at : p["start_pos"]], p["s"]]
+                at = p["end_pos"]
+            if open_ is not None:
+                done += [t[at : open_[1]], "]"]
+                at = open_[1]
+            out.append("".join(done) + t[at:])
         return pd.Series(out, dtype=object)
 
     joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    return joined.select("doc_id", put("text", "x").alias("text"), F.greatest(F.size("x"), F.lit(0)).alias("n_spans"))
+    n = F.coalesce(F.size(F.array_distinct(F.transform("x", lambda p: p["span_start"]))), F.lit(0))
+    return joined.select("doc_id", put("text", "x").alias("text"), F.greatest(n, F.lit(0)).alias("n_spans"))
