@@ -25,6 +25,10 @@ QUANTUM = 10_000
 BLOCK_TOKENS = 2_048
 #: More (mix, source) pairs than this are refused: they are planned on the driver.
 MAX_TARGETS = 100_000
+#: A share is met if it is reached to within this much of the whole mix.
+TOLERANCE = 0.005
+#: Rounds in which documents that are short enough fill what is missing at a goal.
+FILL_ROUNDS = 3
 
 
 def units(weights: dict[str, float], quantum: int = QUANTUM) -> dict[str, int]:
@@ -68,13 +72,13 @@ def schedule(n: dict[str, int]) -> dict[str, list[int]]:
 
 
 def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], total_tokens: int | None = None, whole: bool = False) -> list[tuple]:
-    """(mix_id, source, target_share, max_repeats, supply, goal, status) for every target.
+    """(mix_id, source, target_share, max_repeats, supply, goal, kind) for every target.
 
     Without ``total_tokens`` a mix is as large as it can be with every share
     exact: the smallest of supply * max_repeats / share over its sources that
     have documents. With it, or with ``whole``, which makes a mix as large as
     the supply of these sources together, sources that cannot give so much
-    give all they may. status: zero_target, no_documents, capped or met.
+    give all they may. kind: zero_target, no_documents, capped or open.
     """
     out = []
     mixes: dict[int, list] = {}
@@ -91,13 +95,13 @@ def plan(supply: dict[str, int], targets: list[tuple[int, str, float, int]], tot
         for _, s, w, r in ts:
             have = supply.get(s, 0)
             if not w or w <= 0:
-                goal, status = 0, "zero_target"
+                goal, kind = 0, "zero_target"
             elif have <= 0 or r <= 0:
-                goal, status = 0, "no_documents"
+                goal, kind = 0, "no_documents"
             else:
                 want, most = int(w * size), have * r
-                goal, status = min(want, most), "met" if want <= most else "capped"
-            out.append((mix, s, float(w), int(r), int(have), int(goal), status))
+                goal, kind = min(want, most), "open" if want <= most else "capped"
+            out.append((mix, s, float(w), int(r), int(have), int(goal), kind))
     return out
 
 
@@ -112,10 +116,16 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Draws: (mix_id, slot, offset, source, doc_id, repeat, n_tokens), ordered
     by slot and offset. A source's documents are drawn in hash order, whole
     passes first, so none is drawn twice more often than another; a document
-    is drawn if at least half of it lies before the goal, and what is then
-    missing is filled with the next documents that are short enough. Report: (mix_id, source,
-    target_share, max_repeats, supply_tokens, goal_tokens, drawn_tokens,
-    n_draws, reached_share, status).
+    is drawn if it ends before the goal, and what is then missing is filled
+    with the next documents that are short enough, so no goal is exceeded.
+
+    Report: (mix_id, source, target_share, max_repeats, supply_tokens,
+    goal_tokens, drawn_tokens, n_draws, reached_share, deviation, status).
+    ``deviation`` is reached less target share. status: zero_target;
+    no_documents; met, if the deviation is within TOLERANCE; capped, if a
+    source would have to be repeated more often than it may; over or short,
+    if others of the mix are capped or have no documents, or documents are
+    too long to come closer.
     """
     spark = sizes.sparkSession
     sizes = cut(sizes.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens"))
@@ -141,22 +151,42 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     at = running_start(sizes, ["source"], "doc_id", "n_tokens", sum(x[1] for x in total.values()))
     passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("goal") / F.col("supply")).cast("int") - 1))
     offers = at.join(F.broadcast(goals_df), "source").select("*", passes.alias("repeat")).withColumn("offset", F.col("start") + F.col("repeat") * F.col("supply"))
-    offers = cut(offers.withColumn("taken", F.col("offset") + F.col("n_tokens") / 2 <= F.col("goal")))
-    drawn = offers.where("taken").drop("taken")
-    # A long document at the goal leaves a gap: later ones that are short enough fill it, in the same order.
-    sums = drawn.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("got"))
-    gaps = [(r["mix_id"], r["source"], r["got"], r["goal"] - r["got"]) for r in goals_df.join(sums, ["mix_id", "source"], "left").fillna(0, ["got"]).collect() if r["goal"] - r["got"] > 0]
-    gaps_df = spark.createDataFrame(gaps, "mix_id int, source string, got bigint, gap bigint")
-    short = offers.where("not taken").drop("taken", "start", "offset").join(F.broadcast(gaps_df), ["mix_id", "source"]).where("n_tokens <= gap")
-    short = running_start(short, ["mix_id", "source"], "doc_id", "n_tokens").where(F.col("start") + F.col("n_tokens") <= F.col("gap"))
-    drawn = drawn.unionByName(short.withColumn("offset", F.col("got") + F.col("start")).drop("got", "gap"))
+    left = cut(offers.withColumn("taken", F.col("offset") + F.col("n_tokens") <= F.col("goal")))
+    drawn, left = left.where("taken").drop("taken"), left.where("not taken").drop("taken", "start", "offset")
+    # A long document at the goal leaves a gap: later ones that are short enough fill it, in the same order, then shorter ones.
+    for _ in range(FILL_ROUNDS):
+        sums = drawn.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("got"))
+        gaps = [(r["mix_id"], r["source"], r["got"], r["goal"] - r["got"]) for r in goals_df.join(sums, ["mix_id", "source"], "left").fillna(0, ["got"]).collect() if r["goal"] - r["got"] > 0]
+        if not gaps:
+            break
+        gaps_df = spark.createDataFrame(gaps, "mix_id int, source string, got bigint, gap bigint")
+        short = left.join(F.broadcast(gaps_df), ["mix_id", "source"]).where("n_tokens <= gap")
+        if short.isEmpty():
+            break
+        short = cut(running_start(short, ["mix_id", "source"], "doc_id", "n_tokens").withColumn("taken", F.col("start") + F.col("n_tokens") <= F.col("gap")))
+        fits = short.where("taken").withColumn("offset", F.col("got") + F.col("start"))
+        drawn = drawn.unionByName(fits.drop("got", "gap", "taken"))
+        left = short.where("not taken").drop("got", "gap", "taken", "start")
     drawn = drawn.withColumn("b", F.floor(F.col("offset") / block)).withColumn("i", (F.col("b") % F.col("n")).cast("int"))
     drawn = drawn.join(F.broadcast(slots_df), ["mix_id", "source", "i"])
     draws = drawn.select("mix_id", (F.floor(F.col("b") / F.col("n")) * QUANTUM + F.col("slot_in")).cast("bigint").alias("slot"), "offset", "source", "doc_id", "repeat", "n_tokens")
 
-    known = spark.createDataFrame(planned, "mix_id int, source string, target_share double, max_repeats int, supply_tokens bigint, goal_tokens bigint, status string")
+    known = spark.createDataFrame(planned, "mix_id int, source string, target_share double, max_repeats int, supply_tokens bigint, goal_tokens bigint, kind string")
     got = draws.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.count("*").alias("n_draws"))
     shares = known.join(got, ["mix_id", "source"], "left").fillna(0, ["drawn_tokens", "n_draws"])
     whole = got.groupBy("mix_id").agg(F.sum("drawn_tokens").alias("all"))
     shares = shares.join(whole, "mix_id", "left").withColumn("reached_share", F.round(F.coalesce(F.col("drawn_tokens") / F.col("all"), F.lit(0.0)), 6)).drop("all")
-    return draws, shares
+    off = F.col("reached_share") - F.col("target_share")
+    status = F.when(F.col("kind").isin("zero_target", "no_documents"), F.col("kind")).when(F.abs(off) <= TOLERANCE, "met").when(F.col("kind") == "capped", "capped").when(off > 0, "over").otherwise("short")
+    return draws, shares.withColumn("deviation", F.round(off, 6)).withColumn("status", status).drop("kind")
+
+
+def violations(draws: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_id, source, max_repeats, n_docs, n_over_repeated, n_foreign): per target, its documents with tokens, those drawn too often, and draws of another source's document. The last two must be 0."""
+    d = sizes.where("n_tokens > 0")
+    n = d.groupBy("source").agg(F.count("*").alias("n_docs"))
+    t = targets.where("source is not null and target_share >= 0").groupBy("mix_id", "source").agg(F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    own = d.select("doc_id", F.col("source").alias("own"))
+    drawn = draws.groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("k")).join(own, "doc_id", "left").join(t, ["mix_id", "source"])
+    bad = drawn.groupBy("mix_id", "source").agg(F.count_if(F.col("k") > F.col("max_repeats")).alias("n_over_repeated"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("n_foreign"))
+    return t.join(n, "source", "left").join(bad, ["mix_id", "source"], "left").fillna(0, ["n_docs", "n_over_repeated", "n_foreign"]).select("mix_id", "source", "max_repeats", "n_docs", "n_over_repeated", "n_foreign")

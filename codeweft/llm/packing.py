@@ -87,8 +87,11 @@ def packed(sizes: DataFrame, limits: DataFrame, shares: DataFrame | None = None,
 
     ``sizes``: (doc_id, source, n_tokens); ``limits``: (limit_id,
     capacity_tokens), those without a positive capacity are left out;
-    ``shares``: (source, share) to aim at, by default the shares of the
-    documents themselves, which every container can hold to the end.
+    ``shares``: (source, share) to aim at, by default the shares of what
+    goes into mixed containers, for which no queue runs dry before the others.
+    Documents are not split, so a container holds every source only where it
+    has room for a document of each; what holds is that a source never leads
+    or lags by much more than one container, which ``mixture`` measures.
 
     Each document goes into one container per limit. Only one that exceeds
     the capacity by itself is split: its full parts fill containers of their
@@ -101,14 +104,14 @@ def packed(sizes: DataFrame, limits: DataFrame, shares: DataFrame | None = None,
     sizes = cut(sizes.where("n_tokens is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest("n_tokens", F.lit(0)).alias("n_tokens")))
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // tokens_per_shard))
-    own = {r["source"]: r["t"] / max(total, 1) for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()}
+    own = [r["source"] for r in sizes.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
     given = None if shares is None else {r["source"]: r["share"] or 0.0 for r in shares.select("source", "share").limit(MAX_SOURCES + 1).collect()}
     caps = [(r["limit_id"], r["capacity_tokens"]) for r in limits.where("capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().limit(MAX_LIMITS + 1).collect()]
     if max(len(own), len(given or ())) > MAX_SOURCES or len(caps) > MAX_LIMITS:
         raise ValueError("too many sources or limits")
     if not caps or not own:
         return sizes.sparkSession.createDataFrame([], PACKED)
-    aim = own if given is None else {s: given.get(s, 0.0) for s in own}
+    aim = None if given is None else {s: given.get(s, 0.0) for s in own}
 
     one = lambda i, c: F.struct(F.lit(int(i)).cast("int").alias("limit_id"), F.lit(int(c)).cast("int").alias("capacity"))
     cap = F.col("capacity")
@@ -120,15 +123,20 @@ def packed(sizes: DataFrame, limits: DataFrame, shares: DataFrame | None = None,
     ).select("limit_id", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), F.lit(0).alias("position"), "doc_id", "part", "source", cap.cast("bigint").alias("n_tokens"))
     items = pieces.where("rest > 0 or full = 0").select("limit_id", "capacity", "shard", "doc_id", F.col("full").alias("part"), "source", F.col("rest").alias("n_tokens"))
 
-    # Deficits before each shard: what its predecessors should have given of each source, less what they gave.
+    # Deficits before each shard: what its predecessors should have given of each source, less what they gave. Only sources that a shard has matter in it.
     given = items.groupBy("limit_id", "shard", "source").agg(F.sum("n_tokens").alias("t"))
-    sources = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(float(w)).alias("share")) for s, w in sorted(aim.items()))))
-    grid = given.groupBy("limit_id", "shard").agg(F.count("*")).select("limit_id", "shard", sources.alias("x")).select("limit_id", "shard", "x.source", "x.share")
-    grid = grid.join(given, ["limit_id", "shard", "source"], "left").fillna(0, ["t"])
-    owed = F.col("share") * F.sum("t").over(W.partitionBy("limit_id", "shard")) - F.col("t")
-    grid = grid.withColumn("owed", owed)
-    grid = grid.withColumn("deficit", F.coalesce(F.sum("owed").over(W.partitionBy("limit_id", "source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    plan = grid.groupBy("limit_id", "shard").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("share", "deficit")))).alias("plan"))
+    before = lambda *by: W.partitionBy(*by).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    gone = given.groupBy("limit_id", "shard").agg(F.sum("t").alias("all")).select("limit_id", "shard", "all", F.coalesce(F.sum("all").over(before("limit_id")), F.lit(0)).alias("gone"))
+    if aim is None:  # what goes into mixed containers, which depends on the capacity: full parts of long documents do not
+        whole_limit = given.groupBy("limit_id").agg(F.sum("t").alias("of"))
+        kinds = given.groupBy("limit_id", "source").agg(F.sum("t").alias("share")).join(whole_limit, "limit_id").select("limit_id", "source", (F.col("share") / F.greatest("of", F.lit(1))).alias("share"))
+    else:
+        kinds = sizes.sparkSession.createDataFrame([(int(i), x, float(w)) for i, _ in caps for x, w in sorted(aim.items())], "limit_id int, source string, share double")
+    plan = given.withColumn("had", F.coalesce(F.sum("t").over(before("limit_id", "source")), F.lit(0))).join(gone, ["limit_id", "shard"]).join(F.broadcast(kinds), ["limit_id", "source"])  # at most MAX_LIMITS x MAX_SOURCES rows
+    plan = plan.withColumn("deficit", F.col("share") * F.col("gone") - F.col("had"))
+    if aim is None:  # credits that with the deficit add up to what the shard has of the source, so that its last containers are mixed like its first
+        plan = plan.withColumn("share", F.greatest(F.lit(0.0), (F.col("t") - F.col("deficit")) / F.greatest("all", F.lit(1))))
+    plan = plan.groupBy("limit_id", "shard").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("share", "deficit")))).alias("plan"))
     plan = plan.select(F.col("limit_id").alias("of_limit"), F.col("shard").alias("of_shard"), "plan")
 
     def run(key, pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
@@ -155,3 +163,48 @@ def report(packs: DataFrame) -> DataFrame:
     fill = per.groupBy("limit_id", "capacity").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     docs = packs.groupBy("limit_id", "doc_id").agg(F.count("*").alias("parts")).groupBy("limit_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("parts") > 1).alias("n_split"))
     return fill.join(docs, "limit_id").withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6))
+
+
+def mixture(packs: DataFrame) -> DataFrame:
+    """How well the mixed containers keep the proportions, per limit and source.
+
+    (limit_id, source, target_share, n_containers, n_without, mean_error,
+    most_lag): the source's share of all tokens in mixed containers, their
+    number, those without the source, the mean distance of the share in a
+    container from the target, and the farthest that a shard's running total
+    of the source leads or lags, in containers.
+    """
+    p = packs.where(F.col("container").startswith("s-"))
+    at = F.split("container", "-")
+    one = p.groupBy("limit_id", "capacity", "container", "source").agg(F.sum("n_tokens").alias("t")).withColumn("shard", at[1].cast("int")).withColumn("no", at[2].cast("int"))
+    upto = lambda *by: W.partitionBy(*by).orderBy("no")
+    per = one.groupBy("limit_id", "shard", "no").agg(F.sum("t").alias("used"))
+    per = per.withColumn("all", F.sum("used").over(upto("limit_id", "shard")))
+    total = one.groupBy("limit_id").agg(F.sum("t").alias("total"), F.countDistinct("container").alias("n_containers"))
+    aim = one.groupBy("limit_id", "source").agg(F.sum("t").alias("of")).join(total, "limit_id").withColumn("target_share", F.col("of") / F.greatest("total", F.lit(1)))
+    # A shard aims at its own proportions as well as it can: running totals are held against what the shard has of the source.
+    shard = W.partitionBy("limit_id", "shard", "source")
+    x = one.join(per, ["limit_id", "shard", "no"]).withColumn("had", F.sum("t").over(upto("limit_id", "shard", "source"))).withColumn("has", F.sum("t").over(shard))
+    x = x.join(per.groupBy("limit_id", "shard").agg(F.sum("used").alias("shard_total")), ["limit_id", "shard"])
+    want = F.col("has") / F.greatest("shard_total", F.lit(1))
+    lag = F.greatest(F.abs(F.col("had") - want * F.col("all")), F.abs(F.col("had") - F.col("t") - want * (F.col("all") - F.col("used")))) / F.col("capacity")
+    x = x.withColumn("lag", lag).join(aim.select("limit_id", "source", "target_share"), ["limit_id", "source"])
+    x = x.groupBy("limit_id", "source").agg(F.count("*").alias("n_with"), F.sum(F.abs(F.col("t") / F.greatest("used", F.lit(1)) - F.col("target_share"))).alias("e"), F.max("lag").alias("most_lag"))
+    out = aim.join(x, ["limit_id", "source"])
+    without = F.col("n_containers") - F.col("n_with")
+    return out.select(
+        "limit_id", "source", F.round("target_share", 6).alias("target_share"), "n_containers", without.alias("n_without"),
+        F.round((F.col("e") + without * F.col("target_share")) / F.col("n_containers"), 6).alias("mean_error"), F.round("most_lag", 4).alias("most_lag"),
+    )
+
+
+def violations(packs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(limit_id, n_docs, n_lost, n_overfull, n_changed): documents, and how many are missing, too full a container, or of other than their size. All but the first must be 0."""
+    per = packs.groupBy("limit_id", "capacity", "container").agg(F.sum("n_tokens").alias("used")).groupBy("limit_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_overfull"))
+    docs = packs.groupBy("limit_id", "doc_id").agg(F.sum("n_tokens").alias("t"))
+    limits = packs.select("limit_id").distinct()
+    want = sizes.select("doc_id", "n_tokens").crossJoin(F.broadcast(limits))  # at most MAX_LIMITS rows
+    got = want.join(docs, ["limit_id", "doc_id"], "left").groupBy("limit_id").agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("t").isNull()).alias("n_lost"), F.count_if(F.col("t") != F.col("n_tokens")).alias("n_changed")
+    )
+    return got.join(per, "limit_id").select("limit_id", "n_docs", "n_lost", "n_overfull", "n_changed")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import function_docs, handwritten, mixing, neighbors, packing, pii, tokens
-from codeweft.session import table
+from codeweft.session import cut, table
 
 #: Key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = "example-key"
@@ -90,6 +90,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p7_packed(spark, d))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit and source: how far mixed containers are from the proportions."""
+    return packing.mixture(p7_packed(spark, d))
+
+
+def p7_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per limit, and zeros: nothing is lost, changed or too much for its container."""
+    sizes = cut(tokens.sized(table(spark, d, "documents")))
+    return packing.violations(packing.packed(sizes, table(spark, d, "pack_limits")), sizes)
+
+
 def p8_draws(spark: SparkSession, d: str) -> DataFrame:
     """Mixes as large as the supply of their sources; a source that is too small for its share is repeated as often as it may."""
     return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"), whole=True)[0]
@@ -99,6 +110,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(tokens.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"), whole=True)[1]
 
 
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per target, and zeros: none is drawn too often or for another source."""
+    sizes, targets = cut(tokens.sized(table(spark, d, "documents"))), table(spark, d, "mix_targets")
+    return mixing.violations(mixing.mixture(sizes, targets, whole=True)[0], sizes, targets)
+
+
 # Personal information
 
 
@@ -112,7 +129,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_symbols, p4_found, p4_reasons, p4_layout, p6_found, p6_top_k, p6_top_k_embeddings, p7_packed, p7_report, p8_draws, p8_shares, p9_found, p9_redacted)
+    for f in (p1_found, p1_pairs, p1_symbols, p4_found, p4_reasons, p4_layout, p6_found, p6_top_k, p6_top_k_embeddings, p7_packed, p7_report, p7_mixture, p7_violations, p8_draws, p8_shares, p8_violations, p9_found, p9_redacted)
 }
 
 ORACLE: dict[str, str] = {
@@ -123,6 +140,9 @@ ORACLE: dict[str, str] = {
           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(embedding) IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         u AS (SELECT id, CAST(e AS DOUBLE[64]) AS e FROM v)
         SELECT a.id AS node_id_a, b.id AS node_id_b FROM u a JOIN u b ON a.id < b.id WHERE array_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p7_violations": """SELECT limit_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL)::BIGINT AS n_docs, 0::BIGINT AS n_lost, 0::BIGINT AS n_overfull, 0::BIGINT AS n_changed FROM pack_limits""",
+    "p8_violations": """SELECT mix_id, t.source, max_repeats, coalesce(n, 0)::BIGINT AS n_docs, 0::BIGINT AS n_over_repeated, 0::BIGINT AS n_foreign
+        FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE text <> '' GROUP BY source) d ON d.source = t.source""",
     "p6_top_k_embeddings": """SELECT q AS query_id, vec_id, round(c, 6) AS cosine, place FROM (
           SELECT a.vec_id AS q, b.vec_id, array_cosine_similarity(a.e, b.e) AS c,
                  CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY array_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS INTEGER) AS place
