@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hmac
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,13 +70,38 @@ def source_root(path: Column | str) -> Column:
 
 
 def escaped_html(x: Column | str) -> Column:
-    """&, < and > escaped, line breaks as ``<br>``; null gives an empty text."""
+    """&, < and > escaped, line feeds as ``<br>`` (a carriage return before one stays); null gives an empty text."""
     t = F.coalesce(_c(x), F.lit(""))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r\n", "<br>"), ("\n", "<br>")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
+def merged_html(summary: Column | str, report: Column | str) -> Column:
+    """A plain summary above an HTML report: the summary escaped and, where both are there, set in a column like the report's; else whichever there is."""
+    head, tail = escaped_html(summary), F.coalesce(F.trim(_c(report)), F.lit(""))
+    # The table around a summary, as reports have it.
+    before = (
+        '<table role="presentation" width="100%" cellpadding="0" cellspacing="0" border="0" style="margin:0;padding:0;"><tr><td align="center" style="padding:0 8px 8px 8px;">'
+        '<table role="presentation" width="650" cellpadding="0" cellspacing="0" border="0" style="max-width:650px;font-family:Arial,Helvetica,sans-serif;color:#333333;">'
+        '<tr><td style="font-size:14px;line-height:1.6;text-align:left;">'
+    )
+    both = F.concat(F.lit(before), head, F.lit("</td></tr></table></td></tr></table><br>"), tail)
+    return F.when((head != "") & (tail != ""), both).when(head != "", head).otherwise(tail)
+
+
+def signed(body: Column | str, signature: Column | str, secret: str | None) -> Column:
+    """Whether ``signature`` is ``sha256=`` and the HMAC-SHA256 of the bytes ``body`` under ``secret``; null or no secret never is."""
+
+    @F.pandas_udf("boolean")
+    def check(b: pd.Series, s: pd.Series) -> pd.Series:
+        key = (secret or "").encode()
+        fit = lambda x, y: bool(key) and x is not None and y is not None and hmac.compare_digest("sha256=" + hmac.new(key, x, "sha256").hexdigest(), y)
+        return pd.Series([fit(x, y) for x, y in zip(b, s)], dtype=bool)
+
+    return check(_c(body).cast("binary"), _c(signature))
+
+
 def html_document(fragment: Column | str) -> Column:
     """A UTF-8 HTML document around a fragment."""
     head = '<!DOCTYPE html><html><head><meta charset="UTF-8"></head><body>'

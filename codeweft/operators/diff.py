@@ -87,8 +87,10 @@ def relevant(diff: str | None, start: int | None, end: int | None, pad: int, mos
     def cut(s: str) -> str:
         return s if len(s) <= most else s[:most] + "\n... [truncated]\n"
 
-    if start is None or end is None or start < 1 or end < start:
+    if start is None or end is None or start < 1 or end < 1:
         return cut(diff)
+    low = max(1, start - max(0, pad))
+    high = max(low, end + max(0, pad))
     rows = diff.split("\n")
     at = [i for i, x in enumerate(rows) if re.match(HUNK, x)]
     if not at:
@@ -98,11 +100,45 @@ def relevant(diff: str | None, start: int | None, end: int | None, pad: int, mos
         m = re.match(HUNK, rows[i])
         a = int(m[3])
         b = a + (1 if m[4] is None else int(m[4])) - 1
-        if b >= start - pad and a <= end + pad:
+        if b >= low and a <= high:
             kept += rows[i:j]
     return cut("\n".join(rows[: at[0]] + kept)) if kept else cut(diff)
 
 
+def node_snippets(nodes: DataFrame, diffs: DataFrame, key: str = "path", pad: int = 6, most_chars: int = 12_000) -> DataFrame:
+    """``nodes`` (key, line_start, line_end, ...) plus ``snippet``: the part of their file's diff (key, diff) that concerns them.
+
+    Nodes of files without a diff get an empty snippet.
+    """
+
+    @F.pandas_udf("string")
+    def pick(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        at = lambda x: None if pd.isna(x) else int(x)
+        return pd.Series([relevant(x, at(s), at(e), pad, most_chars) for x, s, e in zip(d, a, b)], dtype=object)
+
+    return nodes.join(diffs.select(key, F.col("diff").alias("_d")), key, "left").withColumn("snippet", pick("_d", "line_start", "line_end")).drop("_d")
+
+
+def diff_totals(stats: DataFrame, *by: str) -> DataFrame:
+    """(by, files, insertions, deletions): what ``line_stats`` adds up to; no rows give one row of zeros where ``by`` is empty."""
+    return stats.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum("insertions"), F.lit(0)).alias("insertions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"))
+
+
+def first_parent_diff(versions: DataFrame, parents: DataFrame) -> DataFrame:
+    """(commit_hash, path, change_type) of every commit against its first parent.
+
+    ``versions``: (commit_hash, path, checksum), the files of each snapshot;
+    ``parents``: (commit_hash, parent_hash), at most one row per commit. A
+    commit without parent, or whose parent has no snapshot, adds all its files.
+    """
+    new = versions.select("commit_hash", "path", F.col("checksum").alias("b"), F.lit(True).alias("in_b"))
+    old = versions.select(F.col("commit_hash").alias("parent_hash"), "path", F.col("checksum").alias("a"), F.lit(True).alias("in_a"))
+    old = old.join(parents.where("parent_hash is not null"), "parent_hash").join(versions.select("commit_hash").distinct(), "commit_hash", "left_semi").select("commit_hash", "path", "a", "in_a")
+    j = new.join(old, ["commit_hash", "path"], "full_outer")
+    kind = F.when(F.col("in_a").isNull(), "ADDED").when(F.col("in_b").isNull(), "DELETED").when(~F.col("a").eqNullSafe(F.col("b")), "MODIFIED")
+    return j.select("commit_hash", "path", kind.alias("change_type")).where("change_type is not null")
+
+
 def diff_budget(nodes: DataFrame, most: int = 120) -> DataFrame:
     """The first ``most`` nodes in order of file, kind (types, methods, fields) and position get a snippet."""
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in (("TYPE", 0), ("METHOD", 1), ("FIELD", 2)) for x in kv)), F.col("kind"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeweft.schema import DEFAULT_GROUPS
 from codeweft.session import cut, filled
 
 CONTEXT_HOPS, IMPACT_HOPS = 8, 5
@@ -26,28 +25,32 @@ def hops(seeds: DataFrame, edges: DataFrame, most: int, up: bool = False) -> Dat
     not expanded again, so the work is bounded by the reached pairs.
     """
     a, b = ("dst", "src") if up else ("src", "dst")
-    links = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
+    links = _links(edges, a, b, most)
     level = seeds.where(filled("seed")).select("seed", F.col("seed").alias("at")).distinct()
-    done: list[DataFrame] = []
+    done: DataFrame | None = None
     for h in range(1, most + 1):
         nxt = level.join(links, "at").select("seed", "node").distinct()
-        for d in done:
-            nxt = nxt.join(d.select("seed", "node"), ["seed", "node"], "left_anti")
+        if done is not None:
+            nxt = nxt.join(done.select("seed", "node"), ["seed", "node"], "left_anti")
         nxt = cut(nxt.withColumn("hop", F.lit(h)))
-        done.append(nxt)
+        done = nxt if done is None else done.unionByName(nxt)
         if nxt.isEmpty():
             break
         level = nxt.select("seed", F.col("node").alias("at"))
-    if not done:
-        return seeds.select("seed", F.col("seed").alias("node"), F.lit(1).alias("hop")).limit(0)
-    return reduce(DataFrame.unionByName, done)
+    return seeds.select("seed", F.col("seed").alias("node"), F.lit(1).alias("hop")).limit(0) if done is None else done
+
+
+def _links(edges: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """(at, node): the distinct links, written down where several levels read them."""
+    links = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
+    return cut(links) if most > 1 else links
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, most: int, up: bool = False) -> DataFrame:
     """(node): everything within ``most`` links of any seed."""
     one = seeds.select("seed")
     a, b = ("dst", "src") if up else ("src", "dst")
-    links = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
+    links = _links(edges, a, b, most)
     level = one.where(filled("seed")).select(F.col("seed").alias("at")).distinct()
     done: DataFrame | None = None
     for _ in range(most):
@@ -143,19 +146,105 @@ def top_per(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, up_hops: int = 3, down_hops: int = 3, max_nodes: int = 500, max_edges: int = 2000) -> dict[str, DataFrame]:
-    """The context sub-graph of ``seeds``: nodes, calls, hierarchy, depends, all under the caps.
+def edge_attribution_compat(calls: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
+    """``edge_attribution`` with the original labels: an edge is downstream if its end is reached no later than its start.
 
-    The node cap bounds methods only; types are added afterwards, as are the
-    relations of the methods' owners.
+    Nothing reached counts as infinitely far, so an edge with neither end
+    downstream is called downstream, with the largest integer as its hop; an
+    edge that leaves the seed itself is called downstream too.
+    """
+    far = F.lit(2**31 - 1)
+    e = edge_attribution(calls, up, down).select("src", "dst", F.col("reference_seed").alias("seed"))
+    for name, side in (("d_src", "src"), ("d_dst", "dst")):
+        e = e.join(down.select("seed", F.col("node").alias(side), F.col("hop").alias(name)), ["seed", side], "left")
+    a, b = F.coalesce("d_src", far), F.coalesce("d_dst", far)
+    hop = F.least(b, F.when(a == far, b).otherwise(a + 1))
+    return e.select("src", "dst", F.col("seed").alias("reference_seed"), hop.alias("hop_from_seed"), F.when(b <= a, "downstream").otherwise("upstream").alias("direction"))
+
+
+def rank_compat(up: DataFrame, down: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, hop) for ``truncate`` with the original ranking: only seeds that reach a node upstream count, others leave it at 9999."""
+    u = up.select("node", "seed", F.col("hop").alias("u"))
+    d = down.select("node", "seed", F.col("hop").alias("d"))
+    both = u.join(d, ["node", "seed"], "full_outer").groupBy("node").agg(F.min(F.when(F.col("u").isNotNull(), F.least("u", "d"))).alias("hop"))
+    zero = seeds.select(F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct()
+    return both.join(zero.select("node"), "node", "left_anti").select("node", F.coalesce("hop", F.lit(9999)).alias("hop")).unionByName(zero)
+
+
+#: The order in which groups of edges fill the cap.
+EDGE_ORDER = ("CALL_CHAIN", "FIELD_ACCESS", "TYPE_DEPENDS", "IMPORTS", "STRUCTURE")
+MOST_IMPORTS, MOST_STRUCTURE = 200, 500
+
+
+def group_edges(nodes: DataFrame, owners: DataFrame, edges: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(group_ord, src, rel_type, dst) of the chosen groups around the methods ``nodes`` (node) and their types ``owners`` (node), distinct.
+
+    Imports and structure are those of the first MOST_IMPORTS and
+    MOST_STRUCTURE rows in order of their keys.
+    """
+    methods = nodes.select("node").distinct()
+    types = owners.select("node").distinct()
+    none = edges.select("src", "rel_type", "dst").limit(0)
+    imported, struct = none, none
+    if "IMPORTS" in groups:
+        df = edge_view(edges, "DEFINES_TYPE").join(types.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src").distinct()
+        imported = edge_view(edges, "IMPORTS").join(df, "src", "left_semi").orderBy("src", "dst").limit(MOST_IMPORTS)
+    if "STRUCTURE" in groups:
+        hm = edge_view(edges, "HAS_METHOD").join(methods.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("t"), F.col("dst").alias("m"))
+        rows = hm.join(edge_view(edges, "DEFINES_TYPE").select(F.col("src").alias("f"), F.col("dst").alias("t")), "t")
+        rows = rows.join(edge_view(edges, "CONTAINS_FILE").select(F.col("src").alias("p"), F.col("dst").alias("f")), "f", "left")
+        rows = rows.orderBy("m", "t", "f", F.col("p").asc_nulls_last()).limit(MOST_STRUCTURE)
+        link = lambda a, rel, b: F.struct(F.col(a).alias("src"), F.lit(rel).alias("rel_type"), F.col(b).alias("dst"))
+        struct = rows.select(F.inline(F.array(link("f", "DEFINES_TYPE", "t"), link("t", "HAS_METHOD", "m"), link("p", "CONTAINS_FILE", "f")))).where("src is not null").distinct()
+    parts = {
+        "CALL_CHAIN": lambda: induced(edge_view(edges, "CALLS"), methods),
+        "FIELD_ACCESS": lambda: edge_view(edges, "READS_FIELD", "WRITES_FIELD").join(methods.withColumnRenamed("node", "src"), "src", "left_semi"),
+        "TYPE_DEPENDS": lambda: touching(edge_view(edges, "DEPENDS_ON"), types), "IMPORTS": lambda: imported, "STRUCTURE": lambda: struct,
+    }
+    out = none.select(F.lit(0).alias("group_ord"), "src", "rel_type", "dst")
+    for i, g in enumerate(EDGE_ORDER):
+        if g in groups:
+            out = out.unionByName(parts[g]().select(F.lit(i).alias("group_ord"), "src", "rel_type", "dst"))
+    return out
+
+
+def capped_edges(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of ``group_edges`` over all groups, in the order of EDGE_ORDER."""
+    return rows.orderBy("group_ord", "src", "rel_type", "dst").limit(most)
+
+
+def side_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): ends of ``edges`` that ``nodes`` (node) does not have yet."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return ends.join(nodes.select("node"), "node", "left_anti")
+
+
+def expand(
+    seeds: DataFrame, edges: DataFrame, up_hops: int = 3, down_hops: int = 3, max_nodes: int = 500, max_edges: int = 2000, groups: tuple[str, ...] | None = None,
+) -> dict[str, DataFrame]:
+    """The context sub-graph of ``seeds`` for relation groups: nodes, edges, inheritance, coupling, types, side_nodes, warnings.
+
+    The node cap bounds methods only; types, fields, files and packages of
+    edges are added afterwards as side nodes. One cap bounds calls, field
+    accesses, dependencies, imports and structure together, in this order;
+    inheritance is outside of it. ``calls`` and ``depends`` are those parts of
+    the capped edges. Groups that were not asked for have no rows.
     """
+    groups = groups or DEFAULT_GROUPS
     up_hops, down_hops = (max(1, min(CONTEXT_HOPS, h)) for h in (up_hops, down_hops))
     calls = edge_view(edges, "CALLS")
     up, down = hops(seeds, calls, up_hops, up=True), hops(seeds, calls, down_hops)
     attr = cut(attribution(up, down, seeds))
     nodes = cut(truncate(attr, max_nodes))
     owners = edge_view(edges, "HAS_METHOD").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-    call_edges = induced(calls, nodes).orderBy("src", "dst").limit(max_edges)
-    hierarchy = touching(edge_view(edges, "EXTENDS", "IMPLEMENTS"), owners)
-    depends = touching(edge_view(edges, "DEPENDS_ON"), owners).orderBy("src", "dst").limit(max_edges)
-    return {"nodes": nodes.join(attr.drop("hop"), "node"), "calls": call_edges, "inheritance": hierarchy, "depends": depends, "types": owners}
+    all_edges = cut(group_edges(nodes, owners, edges, groups))
+    chosen = cut(capped_edges(all_edges, max_edges))
+    hierarchy = touching(edge_view(edges, "EXTENDS", "IMPLEMENTS"), owners) if "TYPE_HIERARCHY" in groups else all_edges.select("src", "rel_type", "dst").limit(0)
+    access = edge_view(edges, "READS_FIELD", "WRITES_FIELD").join(nodes.select(F.col("node").alias("src")), "src", "left_semi") if "FIELD_ACCESS" in groups else all_edges.select("src", "rel_type", "dst").limit(0)
+    plain = chosen.select("src", "rel_type", "dst")
+    over = all_edges.agg((F.count("*") > max_edges).alias("hit")).select(F.lit("more edges than the cap").alias("warning"), "hit")
+    over = over.unionByName(attr.agg((F.count("*") > max_nodes).alias("hit")).select(F.lit("more nodes than the cap").alias("warning"), "hit")).where("hit").select("warning")
+    return {
+        "nodes": nodes.join(attr.drop("hop"), "node"), "edges": plain, "calls": plain.where("rel_type = 'CALLS'"), "depends": plain.where("rel_type = 'DEPENDS_ON'"),
+        "inheritance": hierarchy, "coupling": field_coupling(access), "types": owners, "side_nodes": side_nodes(nodes, plain.unionByName(hierarchy)), "warnings": over,
+    }

@@ -81,9 +81,9 @@ def resolve(links: DataFrame, paths: bool = False, max_rounds: int = 400) -> Dat
         spliced = back.where("go = 'C'")
         # A spliced node lies on a cycle exactly if its only child does.
         ring = state.where(F.col("depth") == ON_CYCLE).select("h", F.col("node_id").alias("u"), F.lit(True).alias("ring"))
-        state = state.unionByName(_back(spliced.join(ring, ["h", "u"], "left"), state, paths))
+        known, fresh = state, _back(spliced.join(ring, ["h", "u"], "left"), state, paths)
         raked = back.where("go = 'R'").withColumn("ring", F.lit(None).cast("boolean"))
-        state = cut(state.unionByName(_back(raked, state, paths)))
+        state = known.unionByName(cut(fresh.unionByName(_back(raked, known.unionByName(fresh), paths))))
     return state
 
 

@@ -15,8 +15,8 @@ def trails(seeds: DataFrame, edges: DataFrame, depth: int, most: int = 80, up: b
     """(seed, hop, nodes, types): per seed the ``most`` shortest trails of 1..depth edges, ties by path.
 
     A seed is expanded further only while it has fewer than ``most`` trails;
-    until then all its trails are kept, so nothing shorter can be missed and
-    the frontier of a seed stays below ``most`` times the out-degree.
+    until then it has fewer than ``most``, so of each level only the ``most``
+    smallest paths of a seed are kept: a hub does not pass on more.
     """
     a, b = ("dst", "src") if up else ("src", "dst")
     links = edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel_type", F.concat_ws("|", "src", "rel_type", "dst").alias("edge")).distinct()
@@ -26,7 +26,7 @@ def trails(seeds: DataFrame, edges: DataFrame, depth: int, most: int = 80, up: b
         nxt = front.join(links, "at").where(~F.array_contains("used", F.col("edge"))).select(
             "seed", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("types", F.array("rel_type")).alias("types"), F.concat("used", F.array("edge")).alias("used")
         )
-        nxt = cut(nxt)
+        nxt = cut(top_per(nxt, ["seed"], ["nodes", "types"], most))
         levels.append(nxt.withColumn("hop", F.lit(h)))
         if h == depth or nxt.isEmpty():
             break

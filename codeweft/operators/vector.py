@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import top_per
+from codeweft.session import cut
+
+#: Queries that go to the vectors in one scan.
+QUERY_BLOCK = 1_000
 
 
 def dot(a: str, b: str) -> Column:
@@ -23,16 +28,22 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float
     """(query_id, id, score, place): per query the ``k`` best of ``vectors``, in exact order.
 
     ``queries``: (query_id, q); ``vectors``: (id, embedding, ...), filtered by
-    the caller on its scalars, which reach the scan. Queries are few by
-    contract: their number is checked and they go to the vectors, in blocks;
-    each task keeps k rows per query before anything is shuffled. Null, empty
+    the caller on its scalars, which reach the scan. Queries go to the vectors
+    in blocks of QUERY_BLOCK, each with a scan of its own; each task keeps k
+    rows per query before anything is shuffled. Null, empty
     or differently long vectors score nothing; blank ids are left out. Ties go
     to the smaller id; scores are rounded to 9 digits first, so that equal vectors tie.
     """
     k = max(1, min(100, k))
-    rows = queries.where("q is not null and size(q) > 0").select("query_id", "q").limit(1_001).collect()
-    if len(rows) > 1_000:
-        raise ValueError("more than 1000 queries; use blocks of them")
+    some = queries.where("q is not null and size(q) > 0").select("query_id", "q")
+    n = some.count()
+    if n > QUERY_BLOCK:
+        blocks = -(-n // QUERY_BLOCK)
+        # Twice as many parts as blocks, so that hashing fills none beyond the bound but with negligible chance; a part that is too full is split again.
+        part = F.pmod(F.xxhash64("query_id", F.lit(n)), F.lit(2 * blocks))
+        some = cut(some.dropDuplicates(["query_id"]).withColumn("_part", part))
+        return reduce(DataFrame.unionByName, (search(some.where(F.col("_part") == i).drop("_part"), vectors, k, min_score, shards) for i in range(2 * blocks)))
+    rows = some.collect()
     if not rows:
         return vectors.select(F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
     ids = [r["query_id"] for r in rows]

@@ -71,27 +71,33 @@ def search(
     f = files.withColumn("_b", below).where("_b is not null").where(F.col("_b").rlike(glob_regex(normal_glob(glob))) & (F.col("n_bytes") <= max_bytes))
     if skip_ignored:
         f = f.where(~F.arrays_overlap(F.slice(F.split("_b", "/"), F.lit(1), F.greatest(F.size(F.split("_b", "/")) - 1, F.lit(0))), F.array(*map(F.lit, IGNORED))))
-    scanned = f.orderBy("relative_path").limit(max_files)
+    # Where the file cap falls is found by paths alone; contents are then filtered by it and never sorted.
+    last = f.select("relative_path").orderBy("relative_path").limit(max_files).agg(F.max("relative_path").alias("_last"))  # one row
+    scanned = f.join(F.broadcast(last), F.col("relative_path") <= F.col("_last"))
     hit = scanned.select("relative_path", F.posexplode(lines("content")).alias("p", "line")).where(matches(F.col("line"), query, regex, ignore_case))
     hits = hit.select(F.col("relative_path").alias("path"), (F.col("p") + 1).alias("line_number"), truncated("line", 4000, "…").alias("line_text")).orderBy("path", "line_number").limit(max_hits)
     n = scanned.agg(F.count("*").alias("scanned_files"), (F.count("*") >= max_files).alias("truncated_by_max_files"))
     return {"hits": hits, "scanned": n, "counts": hits.agg(F.count("*").alias("n_hits"), (F.count("*") >= max_hits).alias("truncated_by_max_hits"))}
 
 
-def snippets(files: DataFrame, start: Column | int | None, end: Column | int | None, max_chars: int = 262_144, max_span: int = 2000) -> DataFrame:
+def snippets(files: DataFrame, start: Column | int | None, end: Column | int | None, max_chars: int = 262_144, max_span: int = 2000, strict: bool = False) -> DataFrame:
     """(path, start_line, end_line, content, truncated): a closed range of lines of each file.
 
-    The range is cut to ``max_span`` lines and to the end of the file; a range
-    that begins beyond it gives a null content. A missing start or end is
-    error 100009.
+    The range is cut to ``max_span`` lines and to the end of the file. A
+    missing, reversed or too early end is error 100009; so is a range beyond
+    the end of a file if ``strict``, which otherwise gives a null content.
     """
     if start is None or end is None:
         raise errors.EngineError(errors.SNIPPET_RANGE, "a range needs both ends")
+    if isinstance(start, int) and isinstance(end, int) and (start < 1 or end < start):
+        raise errors.EngineError(errors.SNIPPET_RANGE, "a range begins at 1 or later and ends no earlier")
     a, b = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
     max_chars = max(1, min(262_144 * 4, max_chars))
     ls = lines("content")
     last = F.least(b, a + max_span - 1, F.size(ls))
     text = F.when((a >= 1) & (b >= a) & (a <= F.size(ls)), F.array_join(F.slice(ls, F.greatest(a, F.lit(1)), F.greatest(last - a + 1, F.lit(0))), "\n"))
+    if strict:
+        text = F.coalesce(text, F.raise_error(F.lit(f"{errors.SNIPPET_RANGE}: nothing in this range")).cast("string"))
     out = files.select(F.col("path"), a.alias("start_line"), last.alias("end_line"), text.alias("_t"))
     return out.select("path", "start_line", "end_line", F.substring("_t", 1, max_chars).alias("content"), (F.length("_t") > max_chars).alias("truncated"))
 
