@@ -23,6 +23,23 @@ MODIFIERS = frozenset("public protected private static final abstract native syn
 KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "@interface": "ANNOTATION", "record": "CLASS"}
 
 
+@dataclass
+class Call:
+    """A call in a body. ``scope`` is what stands before the dot: '' for nothing or ``this``, None for an expression.
+
+    ``scope_type`` and ``args`` are the types of variables, parameters and
+    literals where the body tells them; an argument that is only a name is
+    given as ``?name``, an unknown one as ''.
+    """
+
+    name: str
+    argc: int
+    at: int
+    scope: str | None = ""
+    scope_type: str = ""
+    args: list[str] = field(default_factory=list)
+
+
 @dataclass
 class Decl:
     """One declaration: kind is ``type``, ``method`` or ``field``."""
@@ -41,7 +58,7 @@ class Decl:
     params: list[tuple[str, str]] = field(default_factory=list)
     has_body: bool = False
     supers: list[tuple[str, str]] = field(default_factory=list)
-    calls: list[tuple[str, int, int]] = field(default_factory=list)
+    calls: list[Call] = field(default_factory=list)
 
 
 @dataclass
@@ -273,7 +290,7 @@ class _Reader:
         if j < self.n and self.val[j] == "{":
             end = self.balanced(j, "{", "}")
             d.has_body = True
-            d.calls = self.calls(j, end)
+            d.calls = self.calls(j, end, params)
         elif j < self.n and self.val[j] == "}":
             end = j
         else:
@@ -351,30 +368,81 @@ class _Reader:
                 self.decls.append(Decl("field", owner, val[k], doc, self.pos[first], self.stop[end - 1], modifiers=tuple(mods), returns=t))
         return end
 
-    def calls(self, i: int, stop: int) -> list[tuple[str, int, int]]:
-        """(name, number of arguments, offset) of every call in a body."""
+    def local_types(self, i: int, stop: int) -> dict[str, str]:
+        """Simple types of the variables that a body declares."""
+        out: dict[str, str] = {}
+        val, kind = self.val, self.kind
+        for k in range(i + 1, stop - 1):
+            if kind[k] == "word" and val[k + 1] in ("=", ";", ":", ",") and val[k] not in _NO_CALL:
+                j = k - 1
+                while j > i and val[j] in ("]", "["):
+                    j -= 1
+                if val[j] == ">":
+                    depth = 0
+                    while j > i:
+                        depth += (val[j] == ">") - (val[j] == "<")
+                        j -= 1
+                        if not depth:
+                            break
+                if kind[j] == "word" and val[j] not in _NO_TYPE and (val[j][:1].isupper() or val[j] in _PRIMITIVES):
+                    out.setdefault(val[k], val[j])
+        return out
+
+    def calls(self, i: int, stop: int, params: list[tuple[str, str]] = ()) -> list[Call]:
+        """Every call in a body, with what the body tells about its scope and arguments."""
         out = []
+        val, kind = self.val, self.kind
+        known: dict[str, str] | None = None
         for k in range(i, stop - 1):
-            if self.kind[k] == "word" and self.val[k + 1] == "(" and self.val[k] not in _NO_CALL and not (k and self.val[k - 1] == "new"):
-                depth, args, any_ = 0, 0, False
+            if kind[k] == "word" and val[k + 1] == "(" and val[k] not in _NO_CALL and not (k and val[k - 1] == "new"):
+                if known is None:
+                    known = self.local_types(i, stop) | {n: simple_type(t) for t, n in params}
+                depth, args, any_, cuts, end = 0, 0, False, [k + 2], stop
                 for j in range(k + 1, stop):
-                    v = self.val[j]
-                    if self.kind[j] == "p" and v in "([{":
+                    v = val[j]
+                    if kind[j] == "p" and v in "([{":
                         depth += 1
-                    elif self.kind[j] == "p" and v in ")]}":
+                    elif kind[j] == "p" and v in ")]}":
                         depth -= 1
                         if depth == 0:
+                            end = j
                             break
                     elif depth == 1 and v == ",":
                         args += 1
+                        cuts.append(j + 1)
                     else:
                         any_ = True
                     if depth > 1:
                         any_ = True
-                out.append((self.val[k], args + 1 if any_ else 0, self.pos[k]))
+                n = args + 1 if any_ else 0
+                scope: str | None = ""
+                if k >= 2 and val[k - 1] == ".":
+                    scope = val[k - 2] if kind[k - 2] == "word" and not (k >= 3 and val[k - 3] == ".") else None
+                    scope = "" if scope == "this" else scope
+                parts = [self.type_of(a, b, known) for a, b in zip(cuts, [c - 1 for c in cuts[1:]] + [end])] if n else []
+                out.append(Call(val[k], n, self.pos[k], scope, known.get(scope or "", ""), parts[:n]))
         return out
 
-
+    def type_of(self, a: int, b: int, known: dict[str, str]) -> str:
+        """The simple type of an argument, '' if it can't be told."""
+        code = [k for k in range(a, b) if self.code(k)]
+        if len(code) >= 2 and self.val[code[0]] == "new" and self.kind[code[1]] == "word":
+            return self.val[code[1]]
+        if len(code) != 1:
+            return ""
+        v, k = self.val[code[0]], self.kind[code[0]]
+        if k == "str":
+            return "char" if v[0] == "'" else "String"
+        if k == "num":
+            return "long" if v[-1] in "lL" and not v.lower().startswith("0x") or v[-1] in "lL" else "float" if v[-1] in "fF" and not v.lower().startswith("0x") else "double" if "." in v else "int"
+        if k != "word":
+            return ""
+        return "boolean" if v in ("true", "false") else "" if v in ("null", "this") else known.get(v) or f"?{v}"
+
+
+# Primitive types, and words that look like a type before a name without being one.
+_PRIMITIVES = frozenset("byte short int long float double boolean char var".split())
+_NO_TYPE = frozenset("return throw else case new assert package import instanceof".split())
 # Words that may stand before a bracket without being a call.
 _NO_CALL = frozenset("if for while switch catch synchronized try return throw assert super this new else do case".split())
 
@@ -410,7 +478,7 @@ def parse(text: str | None, want_calls: bool = True) -> Unit:
         return Unit("", [], [])
     r = _Reader(text)
     if not want_calls:
-        r.calls = lambda i, stop: []
+        r.calls = lambda *a: []
     package, imports, i, doc = "", [], 0, None
     try:
         while i < r.n:

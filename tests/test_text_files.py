@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft import errors
 from codeweft.functions import jsonio, text
-from codeweft.operators import diff, vector
+from codeweft.operators import diff, index, vector
 from codeweft.sources import files, ingest
 from codeweft.sources import javaparse as J
 from codeweft.streaming import commits
@@ -173,7 +173,7 @@ def test_javaparse():
     u = J.parse(JAVA)
     m = {J.method_id(d.owner, d.name, [t for t, _ in d.params]): d for d in u.decls if d.kind == "method"}
     assert set(m) == {"p.q.A#m(Map,int)", "p.q.A#<init>()", "p.q.A#n(String)", "p.q.A.E#f()", "p.q.A.R#g()", "p.q.A.N#v()", "p.q.A.N#w()", "p.q.A.In#d()"}
-    assert m["p.q.A#m(Map,int)"].doc == "/** m */" and [c[:2] for c in m["p.q.A#m(Map,int)"].calls] == [("call", 2)]
+    assert m["p.q.A#m(Map,int)"].doc == "/** m */" and [(c.name, c.argc) for c in m["p.q.A#m(Map,int)"].calls] == [("call", 2)]
     assert J.signature(m["p.q.A#n(String)"]) == "void n(String s)" and J.signature(m["p.q.A#<init>()"]) == "A()"
     types = {d.name: d for d in u.decls if d.kind == "type"}
     assert types["p.q.A"].supers == [("EXTENDS", "Base"), ("IMPLEMENTS", "I"), ("IMPLEMENTS", "J")] and types["p.q.A.N"].type_kind == "ANNOTATION"
@@ -183,7 +183,7 @@ def test_javaparse():
 
 
 def test_ingest(spark):
-    f = spark.createDataFrame([("A.java", "r", "package p; import q.B; class A { B b; void m() { run(1); own(); } void own() {} }"), ("B.java", "r", "package q; class B { void run(int i) {} }"), ("N.java", "r", None)], "path string, repo_id string, content string")
+    f = spark.createDataFrame([("A.java", "r", "package p; import q.B; class A { B b; void m() { b.run(1); run(1); own(); } void own() {} }"), ("B.java", "r", "package q; class B { void run(int i) {} }"), ("N.java", "r", None)], "path string, repo_id string, content string")
     rows = ingest.parse(f)
     e = {(r["src"], r["rel_type"], r["dst"]) for r in ingest.edges(rows).collect()}
     assert {("p.A#m()", "CALLS", "q.B#run(int)"), ("p.A#m()", "CALLS", "p.A#own()"), ("p.A", "DEPENDS_ON", "q.B"), ("A.java", "IMPORTS", "q.B"), ("p.A", "HAS_FIELD", "p.A#b")} <= e
@@ -210,3 +210,59 @@ def test_stream_is_idempotent(spark, tmp_path):
     go()
     go()
     assert sorted(out) == ["a", "b", "c"]
+
+
+CALLS = [
+    ("I.java", "package q; public interface I { void run(int i); void run(String s); }"),
+    ("B.java", "package q; public class B implements I { public void run(int i) { } public void run(String s) { } static B make() { return null; } }"),
+    ("C.java", "package q; class C extends B { void more() { run(7); super.run(\"x\"); } class In { void deep() { more(); } } }"),
+    ("A.java", "package p; import q.*; import static q.B.make; class A { B b; void m(C c) { b.run(1); b.run(\"s\"); String t = \"u\"; c.run(t); make(); B.make(); other().run(2); unknown(); long k = 3; own(k); } void own(int x) {} void own(long y) {} }"),
+]
+
+
+def test_calls_resolve_by_scope_and_types(spark):
+    f = spark.createDataFrame([(p, "r", c) for p, c in CALLS], "path string, repo_id string, content string")
+    got = {(r["src"], r["dst"]) for r in ingest.edges(ingest.parse(f)).where("rel_type = 'CALLS'").collect()}
+    assert got == {
+        ("q.C#more()", "q.B#run(int)"), ("q.C#more()", "q.B#run(String)"), ("q.C.In#deep()", "q.C#more()"), ("p.A#m(C)", "q.B#run(int)"), ("p.A#m(C)", "q.B#run(String)"),
+        ("p.A#m(C)", "q.B#make()"), ("p.A#m(C)", "p.A#own(long)"),
+    }
+    up = {(r["src"], r["rel_type"], r["dst"]) for r in ingest.edges(ingest.parse(f)).where("rel_type in ('EXTENDS', 'IMPLEMENTS', 'DEPENDS_ON', 'CONTAINS_FILE')").collect()}
+    assert up == {("q.B", "IMPLEMENTS", "q.I"), ("q.C", "EXTENDS", "q.B"), ("p.A", "DEPENDS_ON", "q.B")} | {(f"r:{'p' if x == 'A' else 'q'}", "CONTAINS_FILE", f"{x}.java") for x in "IBCA"}
+
+
+def test_index_snapshot_and_changes(spark):
+    snap = lambda rows: spark.createDataFrame([(p, "r", c) for p, c in rows], "path string, repo_id string, content string")
+    empty = ingest.node_tables(ingest.parse(snap(CALLS)).limit(0), snap(CALLS).limit(0))
+    g = index.Graph(empty, spark.createDataFrame([], "src string, rel_type string, dst string, line_no int"), spark.createDataFrame([], "id string, node_type string, embedding array<float>"))
+    g, bad = index.index_snapshot(g, snap(CALLS))
+    keys = lambda g: {r["key"] for r in index.node_keys(g.nodes).collect()}
+    assert {"A.java", "r:p", "p.A", "p.A#b", "p.A#own(int)", "q.C.In#deep()"} <= keys(g) and bad.count() == 0
+    assert {r["id"] for r in g.vectors.collect()} >= {"p.A", "q.B#run(int)"}
+    assert g.edges.where("src = 'p.A#m(C)' and dst = 'q.B#make()'").count() == 1
+    once = {tuple(r) for r in g.edges.collect()}
+    again, _ = index.index_snapshot(g, snap(CALLS))
+    assert {tuple(r) for r in again.edges.collect()} == once
+    # B goes, A calls only its own method now, D is new.
+    new = [CALLS[0], CALLS[2], ("A.java", "package p; class A { void m(int c) { own(c); } void own(int x) {} }"), ("D.java", "package d; class D { }")]
+    h, _ = index.index_snapshot(g, snap(new))
+    assert {"q.B", "q.B#run(int)", "B.java"}.isdisjoint(keys(h)) and {"d.D", "p.A#m(int)", "q.C", "p.A#m(C)"} <= keys(h)  # methods of a modified file stay, as stored
+    e = {(r["src"], r["rel_type"], r["dst"]) for r in h.edges.collect()}
+    assert ("p.A#m(int)", "CALLS", "p.A#own(int)") in e and not any("q.B" in x or "q.B" in z for x, _, z in e) and ("p.A#m(C)", "CALLS", "p.A#own(long)") not in e
+    ids = {r["id"] for r in h.vectors.collect()}
+    assert "d.D" in ids and "q.B" not in ids and h.nodes["Type"].where("qualified_name = 'q.I'").count() == 1
+
+
+def test_tasks_records_and_isolation(spark):
+    t = spark.createDataFrame([(1, 1, None, None), (2, 0, None, "x")], "id bigint, status smallint, finish_time string, error_msg string")
+    u = spark.createDataFrame([(1, "FAIL", "b", "boom"), (1, "RUNNING", "a", None), (2, "RUNNING", "c", None), (9, "FAIL", "c", None), (2, "ODD", "z", None)], "id bigint, state string, at string, error_msg string")
+    assert {tuple(r) for r in index.task_update(t, u).collect()} == {(1, 3, "b", "boom"), (2, 1, None, "x")}
+    assert index.append_new(t, t.unionByName(t.withColumn("id", F.col("id") + 1)), ["id"]).count() == 3 and index.by_id(t, 2).count() == 1
+
+    def one(repo, root):
+        if repo == "b":
+            raise RuntimeError("no checkout")
+
+    assert index.run_each([("a", "/a"), ("b", "/b"), ("c", "/c")], one) == [("a", "SUCCESS", ""), ("b", "FAIL", "RuntimeError: no checkout"), ("c", "SUCCESS", "")]
+    rows = ingest.parse(spark.createDataFrame([("A.java", "r", "class A { int x; void m() {} }")], "path string, repo_id string, content string"))
+    assert tuple(ingest.counters(rows).first()) == (1, 0, 1, 1, 1)
