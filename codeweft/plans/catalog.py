@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import jsonio, text
-from codeweft.operators import context, diff, graph, risk, store, trails, vector
+from codeweft.operators import context, diff, graph, index, risk, store, trails, vector
 from codeweft.sources import files, ingest
 from codeweft.streaming import commits
 
@@ -49,6 +49,14 @@ def _access(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("rel_type", F.when(F.col("rel_type") == "IMPLEMENTS", "READS_FIELD").otherwise("WRITES_FIELD"))
 
 
+def _all(spark: SparkSession, d: str, rel: str, end: str = "src") -> DataFrame:
+    return table(spark, d, "edges").where((F.col("rel_type") == rel) & filled(end)).select(F.col(end).alias("seed")).distinct()
+
+
+def _a(rel: str, end: str = "src") -> str:
+    return f"s AS (SELECT DISTINCT {end} AS seed FROM edges WHERE rel_type = '{rel}' AND trim({end}) <> '')"
+
+
 def _e(name: str, *types: str) -> str:
     some = ", ".join(f"'{t}'" for t in types)
     return f"{name} AS (SELECT DISTINCT src, rel_type, dst FROM edges WHERE rel_type IN ({some}) AND trim(src) <> '' AND trim(dst) <> '')"
@@ -135,15 +143,15 @@ def induced_edges(spark, d):
     return graph.induced(c, graph.reachable(s, c, 2).unionByName(s.withColumnRenamed("seed", "node")))
 
 
-@query(f"WITH {_e('c', 'EXTENDS', 'IMPLEMENTS')}, {_s('INNER_CLASS_OF')} SELECT src, rel_type, dst FROM c WHERE src IN (SELECT seed FROM s) OR dst IN (SELECT seed FROM s)")
+@query(f"WITH {_e('c', 'EXTENDS', 'IMPLEMENTS')}, {_a('INNER_CLASS_OF')} SELECT src, rel_type, dst FROM c WHERE src IN (SELECT seed FROM s) OR dst IN (SELECT seed FROM s)")
 def edges_touching_scope(spark, d):
-    return graph.touching(_edges(spark, d, "EXTENDS", "IMPLEMENTS"), _seeds(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "node"))
+    return graph.touching(_edges(spark, d, "EXTENDS", "IMPLEMENTS"), _all(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "node"))
 
 
-@query(f"""WITH {_e('c', 'EXTENDS', 'IMPLEMENTS')}, {_s('INNER_CLASS_OF')} SELECT src, rel_type, dst FROM c WHERE src IN (SELECT seed FROM s)
+@query(f"""WITH {_e('c', 'EXTENDS', 'IMPLEMENTS')}, {_a('INNER_CLASS_OF')} SELECT src, rel_type, dst FROM c WHERE src IN (SELECT seed FROM s)
     UNION ALL SELECT src, rel_type, dst FROM c WHERE dst IN (SELECT seed FROM s)""")
 def edges_touching_scope_compat(spark, d):
-    return graph.touching(_edges(spark, d, "EXTENDS", "IMPLEMENTS"), _seeds(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "node"), compat=True)
+    return graph.touching(_edges(spark, d, "EXTENDS", "IMPLEMENTS"), _all(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "node"), compat=True)
 
 
 # Trails
@@ -215,19 +223,19 @@ def owner_lookup(spark, d):
     return _edges(spark, d, "HAS_METHOD").groupBy(F.col("dst").alias("member")).agg(F.min("src").alias("owner"))
 
 
-@query(f"WITH {_e('c', 'HAS_METHOD')}, {_s('INNER_CLASS_OF')} SELECT DISTINCT dst AS method FROM c JOIN s ON s.seed = c.src")
+@query(f"WITH {_e('c', 'HAS_METHOD')}, {_a('INNER_CLASS_OF')} SELECT DISTINCT dst AS method FROM c JOIN s ON s.seed = c.src")
 def methods_by_type(spark, d):
-    return _edges(spark, d, "HAS_METHOD").join(_seeds(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "src"), "src", "left_semi").select(F.col("dst").alias("method")).distinct()
+    return _edges(spark, d, "HAS_METHOD").join(_all(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "src"), "src", "left_semi").select(F.col("dst").alias("method")).distinct()
 
 
-@query(f"""WITH {_e('df', 'DEFINES_TYPE')}, {_e('hm', 'HAS_METHOD')}, p AS (SELECT DISTINCT src AS p FROM edges WHERE rel_type = 'DEFINES_TYPE' AND edge_id % 50 = 0 UNION SELECT relative_path FROM n_java_file WHERE last_modified % 50 = 0),
+@query(f"""WITH {_e('df', 'DEFINES_TYPE')}, {_e('hm', 'HAS_METHOD')}, p AS (SELECT DISTINCT src AS p FROM edges WHERE rel_type = 'DEFINES_TYPE' UNION SELECT relative_path FROM n_java_file),
     f AS (SELECT DISTINCT path FROM n_java_file WHERE path IN (SELECT p FROM p) OR (relative_path <> '' AND relative_path IN (SELECT p FROM p)))
     SELECT DISTINCT hm.dst AS method FROM f JOIN df ON df.src = f.path JOIN hm ON hm.src = df.dst""")
 def methods_by_file_or(spark, d):
     """Methods of files named by path or relative path: two equi-joins instead of an OR."""
     f = table(spark, d, "n_java_file")
-    p = table(spark, d, "edges").where("rel_type = 'DEFINES_TYPE' and edge_id % 50 = 0").select(F.col("src").alias("p"))
-    p = p.unionByName(f.where("last_modified % 50 = 0").select(F.col("relative_path").alias("p"))).where(filled("p")).distinct()
+    p = table(spark, d, "edges").where("rel_type = 'DEFINES_TYPE'").select(F.col("src").alias("p"))
+    p = p.unionByName(f.select(F.col("relative_path").alias("p"))).where(filled("p")).distinct()
     named = f.join(p, f["path"] == p["p"], "left_semi").select("path").unionByName(f.join(p, f["relative_path"] == p["p"], "left_semi").select("path")).distinct()
     t = _edges(spark, d, "DEFINES_TYPE").join(named.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("src"))
     return _edges(spark, d, "HAS_METHOD").join(t.distinct(), "src", "left_semi").select(F.col("dst").alias("method")).distinct()
@@ -251,23 +259,29 @@ def imports_limit(spark, d):
     return _seeds(spark, d, "INNER_CLASS_OF").withColumnRenamed("seed", "type").join(df, "type").join(im, "file").select("type", "file", "imported").distinct().orderBy("type", "file", "imported").limit(200)
 
 
-@query("""WITH i AS (SELECT DISTINCT dst AS id FROM edges WHERE trim(dst) <> ''),
-    m AS (SELECT id, min(simple_name) AS name, min(file_path) AS file_path, min(line_start) AS line_start FROM n_method GROUP BY id),
-    t AS (SELECT qualified_name AS id, min(simple_name) AS name, min(file_path) AS file_path, min(line_start) AS line_start FROM n_type GROUP BY 1)
-    SELECT i.id, CASE WHEN m.id IS NOT NULL THEN 'Method' ELSE 'Type' END AS label, coalesce(m.name, t.name) AS name, coalesce(m.file_path, t.file_path) AS file_path, coalesce(m.line_start, t.line_start) AS line_start
+_ATTRIBUTES = ("simple_name", "signature", "owner_qualified_name", "access_modifier", "file_path", "line_start", "line_end", "kind")
+_METHOD_ATTR, _TYPE_ATTR = _ATTRIBUTES[:-1], ("simple_name", "access_modifier", "file_path", "line_start", "line_end", "kind")
+
+
+@query(f"""WITH i AS (SELECT DISTINCT dst AS id FROM edges WHERE trim(dst) <> ''),
+    m AS (SELECT id, {', '.join(f'min({c}) AS {c}' for c in _METHOD_ATTR)} FROM n_method GROUP BY id),
+    t AS (SELECT qualified_name AS id, {', '.join(f'min({c}) AS {c}' for c in _TYPE_ATTR)} FROM n_type GROUP BY 1)
+    SELECT i.id, CASE WHEN m.id IS NOT NULL THEN 'Method' ELSE 'Type' END AS label, m.signature, m.owner_qualified_name, t.kind,
+      {', '.join(f'coalesce(m.{c}, t.{c}) AS {c}' for c in _TYPE_ATTR[:-1])}
     FROM i LEFT JOIN m ON m.id = i.id LEFT JOIN t ON t.id = i.id WHERE m.id IS NOT NULL OR t.id IS NOT NULL""")
 def node_details_coalesce(spark, d):
-    one = lambda t, key: table(spark, d, t).groupBy(F.col(key).alias("id")).agg(F.struct(F.min("simple_name").alias("name"), F.min("file_path").alias("file_path"), F.min("line_start").alias("line_start")).alias(t))
+    """Attributes of every node that an edge leads to, methods before types."""
+    one = lambda t, key, cols: table(spark, d, t).groupBy(F.col(key).alias("id")).agg(F.struct(*(F.min(c).alias(c) for c in cols)).alias(t))
     i = table(spark, d, "edges").where(filled("dst")).select(F.col("dst").alias("id")).distinct()
-    j = i.join(one("n_method", "id"), "id", "left").join(one("n_type", "qualified_name"), "id", "left").where("n_method is not null or n_type is not null")
-    pick = lambda f: F.coalesce(f"n_method.{f}", f"n_type.{f}").alias(f)
-    return j.select("id", F.when(F.col("n_method").isNotNull(), "Method").otherwise("Type").alias("label"), pick("name"), pick("file_path"), pick("line_start"))
+    j = i.join(one("n_method", "id", _METHOD_ATTR), "id", "left").join(one("n_type", "qualified_name", _TYPE_ATTR), "id", "left").where("n_method is not null or n_type is not null")
+    both = [F.coalesce(f"n_method.{c}", f"n_type.{c}").alias(c) for c in _TYPE_ATTR[:-1]]
+    return j.select("id", F.when(F.col("n_method").isNotNull(), "Method").otherwise("Type").alias("label"), "n_method.signature", "n_method.owner_qualified_name", "n_type.kind", *both)
 
 
-@query(f"""WITH {_s('CALLS')}, r AS (SELECT DISTINCT e.src AS seed, t.repo_id FROM edges e JOIN index_tasks t ON t.id = e.task_id WHERE e.rel_type = 'CALLS' AND e.edge_id % 50 = 0 AND trim(e.src) <> '')
-    SELECT r.seed, r.repo_id, EXISTS (SELECT 1 FROM n_method m JOIN n_java_file f ON f.path = m.file_path WHERE m.id = r.seed AND f.repo_id = r.repo_id) AS found FROM r""")
+@query(f"""WITH r AS (SELECT DISTINCT e.src AS seed, t.repo_id FROM edges e JOIN index_tasks t ON t.id = e.task_id WHERE e.rel_type = 'CALLS' AND trim(e.src) <> '')
+    SELECT r.seed, r.repo_id, k.id IS NOT NULL AS found FROM r LEFT JOIN (SELECT DISTINCT m.id, f.repo_id FROM n_method m JOIN n_java_file f ON f.path = m.file_path) k ON k.id = r.seed AND k.repo_id = r.repo_id""")
 def seed_exists_in_repo(spark, d):
-    e = table(spark, d, "edges").where((F.col("rel_type") == "CALLS") & (F.col("edge_id") % 50 == 0) & filled("src")).select(F.col("src").alias("seed"), "task_id")
+    e = table(spark, d, "edges").where((F.col("rel_type") == "CALLS") & filled("src")).select(F.col("src").alias("seed"), "task_id")
     r = e.join(table(spark, d, "index_tasks").select(F.col("id").alias("task_id"), "repo_id").distinct(), "task_id").select("seed", "repo_id").distinct()
     m = table(spark, d, "n_method").select(F.col("id").alias("seed"), F.col("file_path").alias("path")).distinct()
     known = m.join(table(spark, d, "n_java_file").select("path", "repo_id").distinct(), "path").select("seed", "repo_id", F.lit(True).alias("found")).distinct()
@@ -372,14 +386,15 @@ def snapshot_diff(spark, d):
     return diff.snapshot_diff(at("2023-09-01"), at("2024-09-01"))
 
 
-@query("""SELECT repo_id, task_type, id, status, start_time FROM (SELECT DISTINCT repo_id, task_type, id, status, start_time FROM index_tasks)
-    QUALIFY row_number() OVER (PARTITION BY repo_id, task_type ORDER BY id DESC, coalesce(start_time, '1900-01-01'::TIMESTAMP) DESC, status DESC) = 1""")
+@query("""WITH t AS (SELECT DISTINCT repo_id, task_type, id, status, start_time FROM index_tasks),
+    o AS (SELECT * FROM t WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY repo_id, task_type ORDER BY id DESC, coalesce(start_time, '1900-01-01'::TIMESTAMP) DESC, status DESC) = 1),
+    n AS (SELECT * FROM t WHERE id % 2 = 1 AND status = 2 QUALIFY row_number() OVER (PARTITION BY repo_id, task_type ORDER BY id DESC, coalesce(start_time, '1900-01-01'::TIMESTAMP) DESC, status DESC) = 1)
+    SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.repo_id IS NOT DISTINCT FROM o.repo_id AND n.task_type IS NOT DISTINCT FROM o.task_type)""")
 def upsert_last_wins(spark, d):
-    t = table(spark, d, "index_tasks").select("repo_id", "task_type", "id", "status", "start_time")
-    half = t.withColumn("_s", F.coalesce("start_time", F.lit("1900-01-01").cast("timestamp_ntz")))
-    old = store.last_per_key(half.where("id % 2 = 0"), ["repo_id", "task_type"], ["id", "_s", "status"])
-    new = half.unionByName(old)
-    return store.upsert(old, new, ["repo_id", "task_type"], ["id", "_s", "status"]).drop("_s")
+    """The finished odd tasks written over the even ones: new keys come in, the others keep their old row."""
+    t = table(spark, d, "index_tasks").select("repo_id", "task_type", "id", "status", "start_time").withColumn("_s", F.coalesce("start_time", F.lit("1900-01-01").cast("timestamp_ntz")))
+    old = store.last_per_key(t.where("id % 2 = 0"), ["repo_id", "task_type"], ["id", "_s", "status"])
+    return store.upsert(old, t.where("id % 2 = 1 and status = 2"), ["repo_id", "task_type"], ["id", "_s", "status"]).drop("_s")
 
 
 _GONE = f"""{_e('df', 'DEFINES_TYPE')}, {_e('hm', 'HAS_METHOD', 'HAS_FIELD')}, p AS (SELECT DISTINCT src AS k FROM edges WHERE rel_type = 'DEFINES_TYPE' AND edge_id % 50 = 0 AND trim(src) <> ''),
@@ -521,7 +536,7 @@ def epoch_to_timestamp(spark, d):
     return table(spark, d, "n_java_file").where("last_modified is not null").select("path", text.from_epoch_ms("last_modified").cast("timestamp_ntz").alias("modified")).distinct()
 
 
-@query(r"SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13) || chr(10), '<br>'), chr(10), '<br>')) AS digest FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')) AS digest FROM documents WHERE text IS NOT NULL")
 def html_escape_merge(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.escaped_html("text")).alias("digest"))
 
@@ -557,12 +572,58 @@ def depth_from_count(spark, d):
     return n.withColumn("depth", text.depth_from_count("n"))
 
 
-@query(f"WITH {_JSON} SELECT doc_id, pos::INTEGER AS pos, qualified_name, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC NULLS LAST, pos)::INTEGER AS place FROM j")
+@query(f"""WITH {_JSON} SELECT doc_id, pos::INTEGER AS pos, qualified_name,
+    row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN pos % 5 < 4 THEN pos % 5 END NULLS LAST, c DESC NULLS LAST, pos)::INTEGER AS place FROM j""")
 def report_ordering(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(F.col("confidence").try_cast("double").desc_nulls_last(), "pos")
-    return _json_lines(spark, d).select("doc_id", "pos", "qualified_name", F.row_number().over(w).alias("place"))
+    """References by priority, here the position by five (the fifth is unreadable), then confidence."""
+    rows = _json_lines(spark, d).withColumn("priority", F.when(F.col("pos") % 5 < 4, F.concat(F.lit("P"), (F.col("pos") % 5).cast("string"))).otherwise("soon"))
+    return jsonio.report_order(rows, ["doc_id"], "priority", "confidence", "pos").select("doc_id", "pos", "qualified_name", "place")
+
+
+@query(f"""WITH {_JSON} SELECT doc_id, 'repo of ' || doc_id AS repo_id, count(*)::BIGINT AS n_nodes, 0::BIGINT AS n_files, true AS fixed FROM j GROUP BY doc_id""")
+def change_payload_blocks(spark, d):
+    """Payloads whose nodes are a JSON list inside a string, whose files are no list and whose warnings are of a wrong kind."""
+    node = F.struct("pos", F.struct("kind", F.col("qualified_name").alias("qualifiedName")).alias("n"))
+    lists = _json_lines(spark, d).groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["n"])).alias("nodes"))
+    meta = F.struct(F.concat(F.lit("repo of "), F.col("doc_id").cast("string")).alias("repoId"))
+    text_ = F.to_json(F.struct(meta.alias("meta"), "nodes", F.lit(7).alias("changedFiles"), F.struct(F.lit("x").alias("warnings"), F.lit(1).alias("more")).alias("truncation")))
+    p = lists.select("doc_id", jsonio.change_payload(text_).alias("p"))
+    fixed = (F.get_json_object("p.truncation", "$.warnings") == "[]") & (F.get_json_object("p.truncation", "$.more") == "1")
+    return p.select("doc_id", F.col("p.repoId").alias("repo_id"), F.size("p.nodes").cast("bigint").alias("n_nodes"), F.size("p.changedFiles").cast("bigint").alias("n_files"), fixed.alias("fixed"))
+
+
+@query(f"""WITH {_JSON}, n AS (SELECT doc_id, count(*) AS n FROM j GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 3 ELSE 0 END::INTEGER AS depth, CASE WHEN doc_id % 3 > 0 THEN n ELSE 0 END::BIGINT AS n_results,
+      CASE WHEN doc_id % 3 > 0 THEN n ELSE 0 END::BIGINT AS n_matched, CASE WHEN doc_id % 3 > 0 THEN 'CALLS' END AS edge_type FROM n""")
+def propagation_responses(spark, d):
+    """Responses of status 200, "201.0" and 500 with values of wrong kinds among their edge types."""
+    seed = F.struct("kind", F.col("qualified_name").alias("qualifiedName"))
+    chain = F.struct(F.lit("CALLS").alias("chainKind"), F.lit("x").alias("hopCount"), F.array(F.parse_json(F.lit('"CALLS"')), F.parse_json(F.lit("5"))).alias("edgeTypes"))
+    rows = _json_lines(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct(seed.alias("seed"), F.lit(True).alias("matchedInGraph"), F.array(chain).alias("impactChains"))).alias("results"))
+    body = F.to_json(F.struct(F.lit("r").alias("repoId"), F.lit(3).alias("effectiveDepth"), "results"))
+    status = F.element_at(F.array(F.lit("500"), F.lit("200"), F.lit("201.0")), (F.col("doc_id") % 3 + 1).cast("int"))
+    r = rows.select("doc_id", jsonio.propagation_response(status, body).alias("r"))
+    first = F.get(F.get(F.get("r.results", 0)["impactChains"], 0)["edgeTypes"], 0)
+    return r.select("doc_id", F.col("r.effectiveDepth").alias("depth"), F.size("r.results").cast("bigint").alias("n_results"), F.size(F.filter("r.results", lambda x: x["matchedInGraph"])).cast("bigint").alias("n_matched"), first.alias("edge_type"))
+
+
+@query(f"""WITH {_JSON}, k AS (SELECT DISTINCT doc_id, kind, qualified_name FROM j),
+    f AS (SELECT k.*, EXISTS (SELECT 1 FROM n_method m WHERE m.id = k.qualified_name) AS matched, (SELECT count(*) FROM edges e WHERE e.rel_type = 'CALLS' AND e.src = k.qualified_name) AS n FROM k WHERE doc_id % 2 = 0)
+    SELECT k.doc_id, k.kind, k.qualified_name, coalesce(f.matched, false) AS matched, coalesce(f.n, 0)::BIGINT AS n_chains FROM k LEFT JOIN f USING (doc_id, kind, qualified_name)""")
+def risk_alignment(spark, d):
+    """Named nodes beside their results, which here exist for every other document."""
+    k = _json_lines(spark, d).select("doc_id", "kind", "qualified_name", "file_path").distinct()
+    hit = table(spark, d, "n_method").select(F.col("id").alias("qualified_name"), F.lit(True).alias("matched")).distinct()
+    n = table(spark, d, "edges").where("rel_type = 'CALLS'").groupBy(F.col("src").alias("qualified_name")).agg(F.count("*").alias("n_chains"))
+    results = k.where("doc_id % 2 = 0").join(hit, "qualified_name", "left").join(n, "qualified_name", "left").fillna(False, ["matched"]).fillna(0, ["n_chains"])
+    return jsonio.align(k, results, ["doc_id"]).select("doc_id", "kind", "qualified_name", "matched", "n_chains")
+
+
+@query("""SELECT doc_id, md5(CASE WHEN text = '' THEN '<p>' || doc_id || '</p>' ELSE '<table role="presentation" width="100%" cellpadding="0" cellspacing="0" border="0" style="margin:0;padding:0;"><tr><td align="center" style="padding:0 8px 8px 8px;"><table role="presentation" width="650" cellpadding="0" cellspacing="0" border="0" style="max-width:650px;font-family:Arial,Helvetica,sans-serif;color:#333333;"><tr><td style="font-size:14px;line-height:1.6;text-align:left;">'
+    || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</td></tr></table></td></tr></table><br><p>' || doc_id || '</p>' END) AS digest FROM documents WHERE text IS NOT NULL""")
+def mail_bodies(spark, d):
+    """Texts as summaries above a report."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.merged_html("text", F.concat(F.lit(" <p>"), F.col("doc_id").cast("string"), F.lit("</p> ")))).alias("digest"))
 
 
 # Diffs
@@ -609,7 +670,45 @@ def file_versions(spark, d):
 def diff_line_stats(spark, d):
     """Insertions and deletions between a file and the same file without its comments."""
     f = _newest(spark, d).where(F.col("path").endswith(".java"))
-    return diff.line_stats(f.select("path", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^\s*//.*$\n?", "").alias("new"))).select("path", "insertions", "deletions")
+    return diff.line_stats(f.select("path", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^[ \t]*//.*$\n?", "").alias("new"))).select("path", "insertions", "deletions")
+
+
+def _uncommented(spark, d) -> DataFrame:
+    """(repo, module, path, old, new): Java files beside themselves without line comments, where they have some."""
+    f = _newest(spark, d).where(F.col("path").endswith(".java") & F.col("content").rlike(r"(?m)^[ \t]*//") & ~F.col("content").contains("\r"))
+    parts = F.split("relative_path", "/")
+    return f.select(parts[0].alias("repo"), parts[1].alias("module"), "path", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^[ \t]*//.*$\n?", "").alias("new"))
+
+
+@query(r"""WITH f AS (SELECT path, max({'a': scanned_at, 'content': content}) AS x FROM source_files WHERE content IS NOT NULL AND path LIKE '%.java' GROUP BY path),
+    l AS (SELECT string_split(path, '/')[4] AS repo, path, len(list_filter(string_split(x.content, chr(10)), lambda y: regexp_matches(y, '^[ \t]*//'))) AS n FROM f WHERE NOT contains(x.content, chr(13)))
+    SELECT repo, count(*)::BIGINT AS files, 0::BIGINT AS insertions, sum(n)::BIGINT AS deletions FROM l WHERE n > 0 GROUP BY repo""")
+def diff_totals(spark, d):
+    """Sums of lines per repository that go when the line comments do."""
+    return diff.diff_totals(diff.line_stats(_uncommented(spark, d)), "repo")
+
+
+@query()
+def node_diff_snippets(spark, d):
+    """Digest of the part of its file's diff that concerns each method."""
+    m = table(spark, d, "n_method").where("id is not null and line_start is not null and line_end is not null").select(F.col("file_path").alias("path"), "id", "line_start", "line_end").distinct()
+    f = diff.unified(_uncommented(spark, d)).select("path", "diff")
+    return diff.node_snippets(m.join(f.select("path"), "path", "left_semi"), f).select("path", "id", "line_start", F.md5("snippet").alias("digest"), F.length("snippet").alias("n_chars"))
+
+
+@query("""WITH v AS (SELECT s.c AS commit_hash, path, min(checksum) AS k FROM n_java_file, (SELECT unnest(['2023-06-01', '2023-09-01', '2024-09-01']) AS c) s
+      WHERE indexed_at <= s.c::TIMESTAMP AND (deleted_at IS NULL OR deleted_at > s.c::TIMESTAMP) GROUP BY 1, 2),
+    p AS (SELECT * FROM (VALUES ('2023-09-01', '2023-06-01'), ('2024-09-01', '2023-09-01')) t(c, parent)),
+    o AS (SELECT p.c AS commit_hash, v.path, v.k FROM v JOIN p ON p.parent = v.commit_hash)
+    SELECT coalesce(o.commit_hash, v.commit_hash) AS commit_hash, coalesce(o.path, v.path) AS path, CASE WHEN o.path IS NULL THEN 'ADDED' WHEN v.path IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS change_type
+    FROM v FULL JOIN o ON o.commit_hash = v.commit_hash AND o.path = v.path WHERE o.path IS NULL OR v.path IS NULL OR o.k IS DISTINCT FROM v.k""")
+def first_parent_diff(spark, d):
+    """Three days as commits, each with the one before as its parent."""
+    days = ("2023-06-01", "2023-09-01", "2024-09-01")
+    f = table(spark, d, "n_java_file").withColumn("commit_hash", F.explode(F.array(*map(F.lit, days))))
+    at = F.col("commit_hash").cast("timestamp_ntz")
+    v = f.where((F.col("indexed_at") <= at) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > at))).groupBy("commit_hash", "path").agg(F.min("checksum").alias("checksum"))
+    return diff.first_parent_diff(v, spark.createDataFrame(list(zip(days[1:], days)), "commit_hash string, parent_hash string"))
 
 
 # Events
@@ -693,18 +792,21 @@ def edge_reference_seed(spark, d):
 
 @query()
 def unified_diffs(spark, d):
-    """Sizes of the unified diffs between a file and itself without line comments."""
-    f = _newest(spark, d).where(F.col("path").endswith(".java"))
-    pairs = f.select("path", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^\s*//.*$\n?", "").alias("new"))
-    return diff.unified(pairs).select("path", F.length("diff").alias("n_chars"))
+    """The unified diff of every file with line comments and itself without: digest and length."""
+    return diff.unified(_uncommented(spark, d)).select("path", F.md5("diff").alias("digest"), F.length("diff").alias("n_chars"))
 
 
 @query()
 def evidence_documents(spark, d):
-    """One evidence document per repository: changed files between two days and the methods in them."""
-    changes = snapshot_diff(spark, d).withColumn("repo", F.regexp_extract("path", "^/data/checkouts/([^/]+)/", 1)).withColumn("insertions", F.lit(1)).withColumn("deletions", F.lit(0))
-    m = table(spark, d, "n_method").where("id is not null").select(F.col("file_path").alias("path"), F.lit("METHOD").alias("kind"), F.col("id").alias("qualified_name"), F.col("signature").alias("snippet")).distinct()
-    return diff.evidence(F.struct(F.col("repo")), changes, changes.select("repo", "path").join(m, "path"), "repo").select("repo", F.length("document").alias("n_chars"))
+    """One evidence document per module of a repository: files that lose their line comments, lines, and the methods concerned with their part of the diff."""
+    pairs = cut(_uncommented(spark, d))
+    by = F.struct("repo", "module")
+    files_ = diff.line_stats(pairs).select(by.alias("key"), "path", F.lit("MODIFIED").alias("change_type"), "insertions", "deletions")
+    m = table(spark, d, "n_method").where("id is not null and line_start is not null and line_end is not null").select(F.col("file_path").alias("path"), F.lit("METHOD").alias("kind"), F.col("id").alias("qualified_name"), "line_start", "line_end").distinct()
+    diffs = diff.unified(pairs).select(by.alias("key"), "path", "diff")
+    nodes = diff.node_snippets(m.join(diffs.select("key", "path"), "path"), diffs.select("path", "diff"))
+    meta = F.struct(F.col("key.repo").alias("repoId"), F.col("key.module").alias("module"))
+    return diff.evidence(meta, files_, nodes, "key").select("key.repo", "key.module", F.md5("document").alias("digest"), F.length("document").alias("n_chars"))
 
 
 # Composites and operators that SQL cannot express
@@ -712,28 +814,138 @@ def evidence_documents(spark, d):
 
 @query()
 def risk_chains_budget(spark, d):
-    """Accepted chains of the methods whose edges have an id divisible by 50, under the default budget."""
+    """Accepted chains of the methods whose edges have an id divisible by 50: a request and a budget for each type that owns some."""
     from pyspark.sql import Window
 
-    seeds = _seeds(spark, d, "CALLS").withColumn("b", F.lit("METHOD"))
-    request = seeds.select(F.dense_rank().over(Window.partitionBy("b").orderBy("seed")).alias("seed_pos"), F.col("b").alias("kind"), "seed").limit(200)  # a request is a list; 200 is its documented size here
+    seeds = _seeds(spark, d, "CALLS").withColumn("request", F.substring_index("seed", "#", 1))
+    request = seeds.select("request", F.row_number().over(Window.partitionBy("request").orderBy("seed")).alias("seed_pos"), F.lit("METHOD").alias("kind"), "seed")
     known = table(spark, d, "n_method").select(F.lit("Method").alias("label"), F.col("id").alias("key"))
     got, _ = risk.propagate(request, table(spark, d, "edges"), known, 3)
-    return got.select("seed", "category", "hop", F.array_join("nodes", " > ").alias("nodes"))
+    return got.select("request", "seed", "category", "hop", F.array_join("nodes", " > ").alias("nodes"))
+
+
+def _parsed(spark, d) -> DataFrame:
+    f = _newest(spark, d).where(F.col("path").endswith(".java")).withColumn("repo_id", F.regexp_extract("path", "^/data/checkouts/([^/]+)/", 1))
+    return ingest.parse(f)
 
 
 @query()
 def parse_java(spark, d):
-    """Typed rows of all Java files."""
-    f = _newest(spark, d).where(F.col("path").endswith(".java")).withColumn("repo_id", F.regexp_extract("path", "^/data/checkouts/([^/]+)/", 1))
-    return ingest.parse(f).groupBy("row_kind", "rel_type").agg(F.count("*").alias("n"))
+    """Declarations and relations of all Java files, one row each."""
+    return _parsed(spark, d).where("row_kind <> 'call'").select("path", "row_kind", "key", "owner", "rel_type", F.array_join("targets", ",").alias("targets"), "line_start", "line_end").distinct()
+
+
+_BOTH = "SELECT path FROM source_files WHERE content IS NOT NULL AND path LIKE '%.java'"
+
+
+@query(f"SELECT DISTINCT id, file_path FROM n_method WHERE id IS NOT NULL AND file_path IN ({_BOTH})")
+def parsed_methods(spark, d):
+    """Methods read from the files that the method table knows."""
+    known = table(spark, d, "n_method").where("id is not null").select(F.col("file_path").alias("path")).distinct()
+    return _parsed(spark, d).where("row_kind = 'method'").join(known, "path", "left_semi").select(F.col("key").alias("id"), F.col("path").alias("file_path")).distinct()
+
+
+@query(f"SELECT count(DISTINCT path)::BIGINT AS n_files, 0::BIGINT AS n_failed FROM ({_BOTH})")
+def parse_counters(spark, d):
+    return ingest.counters(_parsed(spark, d)).select("n_files", "n_failed")
 
 
 @query()
 def parsed_calls(spark, d):
     """Resolved calls of all Java files."""
-    f = _newest(spark, d).where(F.col("path").endswith(".java")).withColumn("repo_id", F.regexp_extract("path", "^/data/checkouts/([^/]+)/", 1))
-    return ingest.edges(cut(ingest.parse(f))).where("rel_type = 'CALLS'")
+    return ingest.edges(cut(_parsed(spark, d))).where("rel_type = 'CALLS'")
+
+
+_T1, _T2 = "2023-09-01", "2024-09-01"
+
+
+@query(f"""WITH RECURSIVE lives(label, k, file, a, b) AS (SELECT 'JavaFile', path, path, indexed_at, deleted_at FROM n_java_file UNION ALL SELECT 'Type', qualified_name, file_path, indexed_at, deleted_at FROM n_type UNION ALL SELECT 'Method', id, file_path, indexed_at, deleted_at FROM n_method),
+    o AS (SELECT DISTINCT label, k FROM lives WHERE k IS NOT NULL AND a <= '{_T1}'::TIMESTAMP AND (b IS NULL OR b > '{_T1}'::TIMESTAMP)),
+    n AS (SELECT label, k, min(file) AS file FROM lives WHERE k IS NOT NULL AND a <= '{_T2}'::TIMESTAMP AND (b IS NULL OR b > '{_T2}'::TIMESTAMP) GROUP BY label, k),
+    gone AS (SELECT k FROM o WHERE label = 'JavaFile' AND k NOT IN (SELECT k FROM n WHERE label = 'JavaFile')),
+    fresh AS (SELECT k FROM n WHERE label = 'JavaFile' AND k NOT IN (SELECT k FROM o WHERE label = 'JavaFile')),
+    e AS (SELECT DISTINCT src, rel_type, dst FROM edges WHERE written_at <= '{_T1}'::TIMESTAMP AND trim(src) <> '' AND trim(dst) <> ''),
+    t AS (SELECT DISTINCT dst AS k FROM e WHERE rel_type = 'DEFINES_TYPE' AND src IN (SELECT k FROM gone)),
+    g AS (SELECT k FROM gone UNION SELECT k FROM t UNION SELECT dst FROM e WHERE rel_type = 'HAS_METHOD' AND src IN (SELECT k FROM t)),
+    w AS (SELECT label, k FROM n WHERE file IN (SELECT k FROM fresh))
+    SELECT label, k AS key, CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.label = x.label AND w.k = x.k) THEN 'new' ELSE 'old' END AS origin
+    FROM (SELECT label, k FROM o WHERE k NOT IN (SELECT k FROM g) UNION SELECT label, k FROM w) x""")
+def incremental_nodes(spark, d):
+    """The node tables of one day taken to a later one: files that are gone cascade, files that are new are written, all else stays."""
+    keys = {"JavaFile": ("n_java_file", "path", "path"), "Type": ("n_type", "qualified_name", "file_path"), "Method": ("n_method", "id", "file_path")}
+    day = lambda t: f"indexed_at <= timestamp_ntz'{t}' and (deleted_at is null or deleted_at > timestamp_ntz'{t}')"
+
+    def at(t: str, origin: str) -> dict[str, DataFrame]:
+        one = lambda name, key, file: table(spark, d, name).where(f"{key} is not null and {day(t)}").groupBy(F.col(key)).agg(F.min(file).alias("_f")).withColumn("origin", F.lit(origin))
+        return {label: one(*x) for label, x in keys.items()}
+
+    old, new = at(_T1, "old"), at(_T2, "new")
+    files_ = lambda x: x["JavaFile"].select("path", F.lit("").alias("checksum"))
+    changes = cut(diff.snapshot_diff(files_(old), files_(new), ""))
+    added = changes.where("change_type = 'ADDED'").select(F.col("path").alias("_f"))
+    fresh = {label: df.join(added, "_f", "left_semi").select(*old[label].columns) for label, df in new.items()}
+    e = table(spark, d, "edges").where(f"written_at <= timestamp_ntz'{_T1}'")
+    g = index.maintain(index.Graph(old, e), changes, fresh, e.limit(0))
+    out = [df.select(F.lit(label).alias("label"), F.col(keys[label][1]).alias("key"), "origin") for label, df in g.nodes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""WITH u AS (SELECT id, max({'at': update_time, 's': CASE WHEN error_msg IS NULL THEN 2 ELSE 3 END, 'e': error_msg}) AS x FROM index_tasks WHERE update_time IS NOT NULL GROUP BY id)
+    SELECT DISTINCT t.id, coalesce(u.x.s, t.status)::SMALLINT AS status, coalesce(u.x.at, t.finish_time) AS finish_time FROM index_tasks t LEFT JOIN u ON u.id = t.id""")
+def task_status_update(spark, d):
+    """Every task ended at its last update, failed if it has an error."""
+    t = table(spark, d, "index_tasks")
+    u = t.where("update_time is not null").select("id", F.when(F.col("error_msg").isNull(), "SUCCESS").otherwise("FAIL").alias("state"), F.col("update_time").alias("at"), "error_msg")
+    return index.task_update(t, u).select("id", "status", "finish_time").distinct()
+
+
+@query("SELECT * FROM repositories WHERE id = (SELECT min(id) FROM repositories)")
+def repository_by_id(spark, d):
+    r = table(spark, d, "repositories")
+    return index.by_id(r, r.agg(F.min("id")).first()[0])
+
+
+@query("""WITH c AS (SELECT DISTINCT e.src, e.dst, e.rel_type, t.trigger_commit AS c FROM edges e JOIN index_tasks t ON t.id = e.task_id WHERE t.trigger_commit IS NOT NULL AND trim(e.src) <> '' AND trim(e.dst) <> ''),
+    hm AS (SELECT DISTINCT src AS t, dst AS m FROM edges WHERE rel_type = 'HAS_METHOD' AND trim(src) <> '' AND trim(dst) <> ''),
+    ci AS (SELECT DISTINCT dst AS node, c FROM c WHERE rel_type = 'INNER_CLASS_OF'),
+    df AS (SELECT DISTINCT c.c, hm.m FROM c JOIN edges d ON d.rel_type = 'DEFINES_TYPE' AND d.src = c.dst JOIN hm ON hm.t = d.dst WHERE c.rel_type = 'CONTAINS_FILE'),
+    l AS (SELECT DISTINCT ci.c, hm.m FROM ci JOIN hm ON hm.t = ci.node)
+    SELECT c AS commit, m AS seed, 'graph' AS source FROM l UNION ALL SELECT c, m, 'diff' FROM df WHERE c NOT IN (SELECT c FROM l)""")
+def commit_seed_fallback(spark, d):
+    """Seeds of commits: of the outer types that their task linked, else of the files that it placed in packages."""
+    e = table(spark, d, "edges").where(filled("src") & filled("dst"))
+    c = e.join(table(spark, d, "index_tasks").where("trigger_commit is not null").select(F.col("id").alias("task_id"), F.col("trigger_commit").alias("commit")).distinct(), "task_id")
+    hm = _edges(spark, d, "HAS_METHOD").select(F.col("src").alias("type"), F.col("dst").alias("method"))
+    changed = c.where("rel_type = 'INNER_CLASS_OF'").select(F.col("dst").alias("node"), "commit").distinct()
+    types = _edges(spark, d, "DEFINES_TYPE").select(F.col("src").alias("file"), F.col("dst").alias("type"))
+    placed = c.where("rel_type = 'CONTAINS_FILE'").select("commit", F.col("dst").alias("file")).distinct().join(types, "file").join(hm, "type").select("commit", "method").distinct()
+    return context.commit_seeds(changed, hm, placed, placed.limit(0).select("commit", F.col("method").alias("seed")))
+
+
+_CAPPED = f"""{_e('c', 'CALLS')}, {_e('hm', 'HAS_METHOD')}, {_e('df', 'DEFINES_TYPE')}, {_e('cf', 'CONTAINS_FILE')}, {_e('im', 'IMPORTS')}, {_e('dp', 'DEPENDS_ON')}, {_s('CALLS')},
+    o AS (SELECT DISTINCT src AS k FROM hm WHERE dst IN (SELECT seed FROM s)),
+    st AS (SELECT hm.dst AS m, hm.src AS t, df.src AS f, cf.src AS p FROM hm JOIN s ON s.seed = hm.dst JOIN df ON df.dst = hm.src LEFT JOIN cf ON cf.dst = df.src ORDER BY m, t, f, p NULLS LAST LIMIT 500),
+    x AS (SELECT 0 AS g, src, rel_type, dst FROM c WHERE src IN (SELECT seed FROM s) AND dst IN (SELECT seed FROM s) UNION ALL SELECT 2, src, rel_type, dst FROM dp WHERE src IN (SELECT k FROM o) OR dst IN (SELECT k FROM o)
+      UNION ALL SELECT * FROM (SELECT 3, src, rel_type, dst FROM im WHERE src IN (SELECT src FROM df WHERE dst IN (SELECT k FROM o)) ORDER BY src, dst LIMIT 200)
+      UNION ALL SELECT DISTINCT 4, f, 'DEFINES_TYPE', t FROM st UNION ALL SELECT DISTINCT 4, t, 'HAS_METHOD', m FROM st UNION ALL SELECT DISTINCT 4, p, 'CONTAINS_FILE', f FROM st WHERE p IS NOT NULL)"""
+
+
+@query(f"WITH {_CAPPED} SELECT src, rel_type, dst FROM x ORDER BY g, src, rel_type, dst LIMIT 300")
+def capped_group_edges(spark, d):
+    """Edges of all groups around the seed methods under one cap."""
+    methods, e = _seeds(spark, d, "CALLS").withColumnRenamed("seed", "node"), table(spark, d, "edges")
+    owners = _edges(spark, d, "HAS_METHOD").join(methods.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+    return graph.capped_edges(graph.group_edges(methods, owners, e, graph.EDGE_ORDER), 300).select("src", "rel_type", "dst")
+
+
+@query(f"WITH RECURSIVE {_e('c', 'EXTENDS', 'IMPLEMENTS')}, {_s('EXTENDS')}, {_trail_sql('c', 6, False)} SELECT seed, hop, nodes, types FROM q WHERE n <= 80")
+def hierarchy_chains_down(spark, d):
+    return _flat(trails.trails(_seeds(spark, d, "EXTENDS"), _edges(spark, d, "EXTENDS", "IMPLEMENTS"), 6))
+
+
+@query(f"WITH RECURSIVE {_e('c', 'DEPENDS_ON')}, {_s('DEPENDS_ON', 'dst')}, {_trail_sql('c', 3, True)} SELECT seed, hop, nodes, types FROM q WHERE n <= 80")
+def depends_chains_in(spark, d):
+    return _flat(trails.trails(_seeds(spark, d, "DEPENDS_ON", "dst"), _edges(spark, d, "DEPENDS_ON"), 3, up=True))
 
 
 @query()
