@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from codeweft.session import cut, filled
 
 ON_CYCLE, BELOW_CYCLE = -1, -2
+#: Written pieces of the result that are read together before they are made one.
+MOST_PIECES = 4
 
 
 def _prio(node: str, round_no: int) -> Column:
@@ -76,6 +78,7 @@ def resolve(links: DataFrame, paths: bool = False, max_rounds: int = 400) -> Dat
     if state is None:
         schema = "h string, node_id string, root_id string, depth int" + (", path array<string>" if paths else "")
         return links.sparkSession.createDataFrame([], schema)
+    pieces = 1
     for back in reversed(records):
         # Spliced nodes first: a leaf may have been raked off a node that was spliced in the same round.
         spliced = back.where("go = 'C'")
@@ -83,7 +86,11 @@ def resolve(links: DataFrame, paths: bool = False, max_rounds: int = 400) -> Dat
         ring = state.where(F.col("depth") == ON_CYCLE).select("h", F.col("node_id").alias("u"), F.lit(True).alias("ring"))
         known, fresh = state, _back(spliced.join(ring, ["h", "u"], "left"), state, paths)
         raked = back.where("go = 'R'").withColumn("ring", F.lit(None).cast("boolean"))
-        state = known.unionByName(cut(fresh.unionByName(_back(raked, known.unionByName(fresh), paths))))
+        # Only what came back is written; the pieces are put together now and then, so that plans stay small.
+        fresh = cut(fresh.unionByName(_back(raked, known.unionByName(fresh), paths)))
+        state, pieces = known.unionByName(fresh), pieces + 1
+        if pieces == MOST_PIECES:
+            state, pieces = cut(state), 1
     return state
 
 
