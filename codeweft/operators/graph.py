@@ -149,12 +149,15 @@ def top_per(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
 def edge_attribution_compat(calls: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
     """``edge_attribution`` with the original labels: an edge is downstream if its end is reached no later than its start.
 
-    Nothing reached counts as infinitely far, so an edge with neither end
-    downstream is called downstream, with the largest integer as its hop; an
-    edge that leaves the seed itself is called downstream too.
+    A seed is reached at 0, so an edge that leaves it is called upstream, as
+    are all that lead away from it. Nothing reached counts as infinitely far:
+    an edge with neither end downstream is called downstream, with the largest
+    integer as its hop.
     """
     far = F.lit(2**31 - 1)
-    e = edge_attribution(calls, up, down).select("src", "dst", F.col("reference_seed").alias("seed"))
+    zero = up.unionByName(down).select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    down = down.unionByName(zero).groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+    e = edge_attribution(calls, up, down.where("hop > 0")).select("src", "dst", F.col("reference_seed").alias("seed"))
     for name, side in (("d_src", "src"), ("d_dst", "dst")):
         e = e.join(down.select("seed", F.col("node").alias(side), F.col("hop").alias(name)), ["seed", side], "left")
     a, b = F.coalesce("d_src", far), F.coalesce("d_dst", far)
