@@ -202,8 +202,8 @@ def violations(packs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(limit_id, n_docs, n_lost, n_overfull, n_changed): documents, and how many are missing, too full a container, or of other than their size. All but the first must be 0."""
     per = packs.groupBy("limit_id", "capacity", "container").agg(F.sum("n_tokens").alias("used")).groupBy("limit_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_overfull"))
     docs = packs.groupBy("limit_id", "doc_id").agg(F.sum("n_tokens").alias("t"))
-    limits = packs.select("limit_id").distinct()
-    want = sizes.select("doc_id", "n_tokens").crossJoin(F.broadcast(limits))  # at most MAX_LIMITS rows
+    limits = sorted(r["limit_id"] for r in packs.select("limit_id").distinct().limit(MAX_LIMITS + 1).collect())
+    want = sizes.select("doc_id", "n_tokens", F.explode(F.array(*map(F.lit, limits)) if limits else F.array().cast("array<int>")).alias("limit_id"))
     got = want.join(docs, ["limit_id", "doc_id"], "left").groupBy("limit_id").agg(
         F.count("*").alias("n_docs"), F.count_if(F.col("t").isNull()).alias("n_lost"), F.count_if(F.col("t") != F.col("n_tokens")).alias("n_changed")
     )
